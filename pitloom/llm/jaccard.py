@@ -287,3 +287,17 @@ def _texts(docs: DataFrame, wanted: DataFrame, n: int, seed: int) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("text is not null").mapInArrow(run, "doc long, id long, text string")
     found = keyed.join(wanted.withColumnRenamed("doc", "_doc"), (keyed["id"] == wanted["id"]) & keyed["doc"].eqNullSafe(F.col("_doc"))).select(keyed["id"], "text")
     return found.groupBy("id").agg(F.min("text").alias("text"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component: that of the smallest doc_id.
+
+    Texts without words are in no group and all stay, as do rows without a
+    doc_id; of repeated rows of one doc_id and text one stays.
+    """
+    answer = jaccard_components(docs, n, percent)
+    drop = answer.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
+    rows = docs.withColumn("_same", F.xxhash64("text"))
+    kept = rows.join(drop, F.col("doc_id").cast("long") == F.col("_drop"), "left_anti")
+    known = kept.where("doc_id is not null").dropDuplicates(["doc_id", "_same"])
+    return known.unionByName(kept.where("doc_id is null")).select(*docs.columns)

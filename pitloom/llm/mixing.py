@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import numbered
 from .session import checkpointed
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,16 +47,8 @@ def numbered_sources(sized_docs: DataFrame) -> DataFrame:
     so no task sees all of them.
     """
     sums = sized_docs.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
-    width = max(1, int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = checkpointed(sums.repartitionByRange(width, F.col("source").asc_nulls_last()).withColumn("_part", F.spark_partition_id()))
-    counts = sorted((r[0], r[1]) for r in dealt.groupBy("_part").count().collect())  # a row for each partition
-    before, cases = 0, F.lit(0)
-    offsets = []
-    for part, n in counts:
-        offsets.append((part, before))
-        before += n
-    offset = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in offsets for x in pair]), F.col("_part")), cases) if offsets else cases
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("source").asc_nulls_last())) + offset
+    dealt = numbered(sums, [F.col("source").asc_nulls_last()])
+    rank = F.col("rank")
     return dealt.select("source", "source_size", "rows", ((rank - 1) % 3 + 1).cast("long").alias("weight"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, quality, substring, urls
+from . import chat, jaccard, lines, mixing, neighbours, packing, private, quality, substring, urls
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -44,10 +44,32 @@ def op5_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_private_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = private.with_surrogates(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *(f"n_{k}" for k in private.KINDS), "text")
+
+
+#: What the calls that conversations are read as may hold.
+SCHEMAS = {"respond": {"type": "object", "properties": {"prompt": {"type": "string", "minLength": 1}, "chars": {"type": "integer"}}, "required": ["prompt", "chars"], "additionalProperties": False}}
+
+
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_tool_calls(chat.turns_as_calls(_table(spark, sf_dir, "conversations")), SCHEMAS)
+
+
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.without_repeated_runs(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_url_filter, op3_quality_rules, op4_substring_dedup, op5_sequence_packing, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_url_filter, op3_quality_rules, op4_substring_dedup, op5_sequence_packing, op6_private_surrogates, op7_tool_calls, op8_nearest_vectors, op9_line_dedup, op10_jaccard_join)}
 
 ORACLE = {}
