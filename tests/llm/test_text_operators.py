@@ -279,3 +279,37 @@ def test_urls(spark):
     assert sorted((str(r.page_id), r.host, r.path, str(r.rule), r.verdict) for r in got) == want
     assert urls.url_verdicts(pages.limit(0), frame).count() == 0
     assert urls.url_verdicts(pages, frame.limit(0)).where("rule is null").count() == len(want)
+
+
+@pytest.mark.parametrize("percent", [90, 80])
+def test_jaccard_near_copy_family(spark, percent):
+    """Many near copies of one text around the threshold, some only linked with each other."""
+    rng = random.Random(percent)
+    base = [f"w{i}" for i in range(130)]
+    texts = [" ".join(base)]
+    for _ in range(150):
+        ws = list(base)
+        for _ in range(rng.randint(1, 6 if percent == 90 else 10)):
+            ws[rng.randrange(len(ws))] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(ws))
+        if rng.random() < 0.4:
+            ws[rng.randrange(len(ws))] = f"x{rng.randrange(10**9)}"
+            texts.append(" ".join(ws))
+    for keep_base in (True, False):
+        rows = list(enumerate(texts))[0 if keep_base else 1 :]
+        sets = {i: shingles(t, 3) for i, t in rows}
+        root = {i: i for i in sets}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i in sets:
+            for j in sets:
+                if j < i and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                    a, b = sorted((find(i), find(j)))
+                    root[b] = a
+        out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, percent).collect()
+        assert {r.doc_id: r.component_id for r in out} == {i: find(i) for i in sets}
+        assert len({find(i) for i in sets}) > 1
