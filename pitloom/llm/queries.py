@@ -72,4 +72,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_url_filter, op3_quality_rules, op4_substring_dedup, op5_sequence_packing, op6_private_surrogates, op7_tool_calls, op8_nearest_vectors, op9_line_dedup, op10_jaccard_join)}
 
-ORACLE = {}
+_URL_SQL = """WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+r(h, x, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow'))
+SELECT page_id, host, path, h || x AS rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, x)
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || x) DESC NULLS LAST) = 1"""
+
+ORACLE = {"op2_url_filter": _URL_SQL}
