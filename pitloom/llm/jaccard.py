@@ -14,10 +14,14 @@ segment need agree; of a lost pair both sets would be such.
 
 Keys are counted in packed form (a few bytes for each key, sorted in numpy);
 only keys with two different sets become rows.  In each key's group the sets
-are compared with the smallest one first; sets that this leaves in different
-components are then compared pair by pair, unless the triangle inequality of
-the Jaccard distance rules the pair out.  So a group of near copies costs a
-star, not all pairs, and no link between components is lost.
+are first compared with a centre, the set that shares most keys with others:
+of a family of near copies that is the original or one close to it.  A link
+between sets that this leaves in different components has one of two forms.
+Either both hold an element that the centre lacks; then they meet under that
+element, and a prefix of such elements in hash order suffices.  Or they don't;
+then all their additions to the centre count as differences between them, and
+few sets have so few.  Both kinds are verified exactly.  So a family of near
+copies costs a star, not all pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -165,8 +169,11 @@ def _packer(n: int, seed: int, schemes: list[Scheme], bits: int):
     return run
 
 
-def _compare(n: int, seed: int):
-    """Rows (a, b, text), a's own text first (b null), to (a, b, shared, size_a, size_b)."""
+def _compare(n: int, seed: int, percent: int):
+    """Rows (a, b, text), a's own text first (b null), to (a, b, shared, size_a, size_b, added).
+
+    added: the least elements that b has and a lacks, one more than a linked set can miss or add.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, mine = None, np.empty(0, np.uint64)
         for batch in batches:
@@ -182,15 +189,17 @@ def _compare(n: int, seed: int):
                     if a[i] != have:
                         raise RuntimeError("a pair's first text is missing")
                     at = np.searchsorted(mine, own)
-                    shared = int((mine[np.minimum(at, len(mine) - 1)] == own).sum()) if len(mine) else 0
-                    rows.append((a[i], b[i], shared, len(mine), len(own)))
+                    both = mine[np.minimum(at, len(mine) - 1)] == own if len(mine) else np.zeros(len(own), bool)
+                    added = own[~both][: len(own) * (100 - percent) // percent + 1].view(np.int64)
+                    rows.append((a[i], b[i], int(both.sum()), len(mine), len(own), added))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["a", "b", "shared", "size_a", "size_b"])
+                *numbers, added = zip(*rows)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), pa.array(added, pa.list_(pa.int64()))], names=["a", "b", "shared", "size_a", "size_b", "added"])
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, seed: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, seed: int, percent: int) -> DataFrame:
     """Exact overlap of the distinct pairs (a, b); a set with many partners is dealt over several tasks."""
     many = pairs.groupBy("a").count().where(F.col("count") > SALT_ROWS).select("a", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("_n"))
     dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("_n", F.lit(1))).cast("int").alias("salt"))
@@ -198,7 +207,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, seed: int) -> DataFram
     left = dealt.select("a", "salt").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "salt", "text")
     width = max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = left.unionByName(right).repartition(width, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.select("a", "b", "text").mapInArrow(_compare(n, seed), "a long, b long, shared long, size_a long, size_b long")
+    return rows.select("a", "b", "text").mapInArrow(_compare(n, seed, percent), "a long, b long, shared long, size_a long, size_b long, added array<long>")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -226,17 +235,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     total = sum(c * sum(s.m + (bounds[k] if s.v == 2 else 0) for s in schemes[k : k + 2]) for k, c in sizes.items())
     bits = packed.bits_for(total)
     member = checkpointed(packed.shared(docs.select("text").mapInArrow(_packer(n, seed, schemes, bits), packed.SCHEMA)))
-    star = member.groupBy("key").agg(F.min("id").alias("a"))
+    star = checkpointed(_centres(member))
     pairs = checkpointed(member.join(star, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = checkpointed(_texts(docs, wanted.join(classes, "id").select("id", "doc"), n, seed))
-    checked = checkpointed(_verified(pairs, texts, n, seed))
+    checked = checkpointed(_verified(pairs, texts, n, seed, percent))
     linked = f"100 * shared >= {percent} * (size_a + size_b - shared)"
     links = checked.where(linked).select("a", "b")
     found = checkpointed(components(links))
     rest = _unsettled(member, star, checked, found, percent)
     if not rest.isEmpty():
-        more = _verified(rest, texts, n, seed).where(linked).select("a", "b")
+        more = _verified(rest, texts, n, seed, percent).where(linked).select("a", "b")
         found = checkpointed(components(links.unionByName(more)))
     group = found.join(classes.select(F.col("id").alias("node"), "doc"), "node").groupBy("root").agg(F.min("doc").alias("component"))
     node = found.join(group, "root").select(F.col("node").alias("id"), "component")
@@ -245,20 +254,49 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", "n_shingles", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _centres(member: DataFrame) -> DataFrame:
+    """(key, a): of each key's sets the one that shares most keys with other sets."""
+    size = member.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    degree = member.join(size, "key").groupBy("id").agg(F.sum("size").alias("degree"))
+    return member.join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", "id")).alias("a"))
+
+
 def _unsettled(member: DataFrame, star: DataFrame, checked: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs under one key in different components that the distances to the key's smallest set don't rule out."""
-    whole = F.col("size_a") + F.col("size_b") - F.col("shared")
-    far = checked.select("a", F.col("b").alias("id"), (1 - F.col("shared") / whole).alias("far")).unionByName(checked.select("a", F.col("a").alias("id"), F.lit(0.0).alias("far")).distinct())
-    part = far.join(found.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    # keys whose sets lie in one component are settled; sets too far from the smallest one can link with none near it
-    keyed = member.join(star, "key").join(part, ["a", "id"])
-    mixed = keyed.groupBy("key").agg((F.min("root") != F.max("root")).alias("x"), (F.max(F.when(F.col("id") != F.col("a"), F.col("root"))) != F.min(F.when(F.col("id") != F.col("a"), F.col("root")))).alias("y")).where("x and y").select("key")
-    open_ = checkpointed(keyed.join(mixed, "key").where("id <> a").select("key", "id", "root", "far"))
-    reach = (100 - percent) / 100 + 1e-9
-    left = open_.select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("far").alias("fa"), F.explode(F.array(*(F.floor(F.col("far") / reach) + i for i in (-1, 0, 1)))).alias("cell"))
-    right = open_.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("far").alias("fb"), F.floor(F.col("far") / reach).alias("cell"))
-    near = left.join(right, ["key", "cell"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.abs(F.col("fa") - F.col("fb")) <= reach))
-    return checkpointed(near.select("a", "b").distinct())
+    """Pairs under one centre, in different components, that their differences from the centre let link.
+
+    Let x be what a set adds to the centre and y what it lacks.  Sets of sizes
+    s and t differ in at most (s + t)(1 - p) / (1 + p) elements if they link.
+    Their additions and lacks differ by |x - x'| + |y - y'| at least if they
+    share an addition, and by x + x' + |y - y'| if they share none.
+    """
+    part = checked.select("a", F.col("b").alias("id"), F.col("size_b").alias("size"), (F.col("size_b") - F.col("shared")).alias("x"), (F.col("size_a") - F.col("shared")).alias("y"))
+    part = part.join(found.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    # keys whose other sets lie in one component are settled: those have all been compared with the centre
+    keyed = member.join(star, "key").where("id <> a").join(part, ["a", "id"])
+    mixed = keyed.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("key")
+    open_ = checkpointed(keyed.join(mixed, "key").select("key", "a", "id", "root", "size", "x", "y"))
+    sets = checkpointed(open_.drop("key").distinct())
+    own, other = ("size", "x", "y", "root"), ("size_", "x_", "y_", "root_")
+
+    def renamed(rows: DataFrame) -> DataFrame:
+        return rows.withColumnsRenamed({"id": "b", **dict(zip(own, other))})
+
+    room = f"(size + size_) * {100 - percent} div {100 + percent}"
+    apart = f"root <> root_ AND abs(y - y_) + abs(x - x_) <= {room}"
+    added = checked.select("a", F.col("b").alias("id"), F.explode("added").alias("e")).join(sets, ["a", "id"])
+    several = added.groupBy("a", "e").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("a", "e")
+    added = checkpointed(added.join(several, ["a", "e"]))
+    one = added.join(renamed(added), ["a", "e"]).where(f"id < b AND {apart}")
+    # where both lists are whole, the additions shared are counted, and so the least difference
+    whole = " AND ".join(f"x{i} <= size{i} * {100 - percent} div {percent} + 1" for i in ("", "_"))
+    one = one.groupBy("a", "id", "b").agg(F.count(F.lit(1)).alias("n"), F.first(F.expr(f"CASE WHEN {whole} THEN x + x_ + abs(y - y_) - {room} ELSE 0 END")).alias("need"))
+    one = one.where("2 * n >= need").select(F.col("id").alias("a"), "b")
+    # without a shared addition one of the two has at most half the room, which is at most this
+    light = open_.where(f"2 * x <= size * {100 - percent} div {percent}")
+    heavy = open_.where(f"x <= size * {100 - percent} div {percent}")
+    two = light.join(renamed(heavy).drop("a"), "key").where(f"id <> b AND root <> root_ AND x + x_ + abs(y - y_) <= {room}")
+    two = two.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
+    return checkpointed(one.unionByName(two).distinct())
 
 
 def _light(docs: DataFrame, n: int, seed: int) -> DataFrame:
