@@ -20,8 +20,11 @@ between sets that this leaves in different components has one of two forms.
 Either both hold an element that the centre lacks; then they meet under that
 element, and a prefix of such elements in hash order suffices.  Or they don't;
 then all their additions to the centre count as differences between them, and
-few sets have so few.  Both kinds are verified exactly.  So a family of near
-copies costs a star, not all pairs, and no link between components is lost.
+few sets have so few.  In a group of at most SMALL sets the pairs whose
+differences from the centre allow a link are taken as they are.  All these are
+sifted by counts of elements in hash buckets, which differ by no more than the
+sets do, and what is left is verified exactly.  So a family of near copies
+costs a star, not all pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ from .session import checkpointed
 
 #: Partners of one set that one task compares in a row, about.
 SALT_ROWS = 64
+#: Largest group of one key whose sets are paired without a look at their additions.
+SMALL = 32
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +177,7 @@ def _packer(n: int, seed: int, schemes: list[Scheme], bits: int):
 def _compare(n: int, seed: int, percent: int):
     """Rows (a, b, text), a's own text first (b null), to (a, b, shared, size_a, size_b, added).
 
-    added: the least elements that b has and a lacks, one more than a linked set can miss or add.
+    added: the least elements that b has and a lacks, one more than b can have and a set linked with it lack.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, mine = None, np.empty(0, np.uint64)
@@ -190,7 +195,7 @@ def _compare(n: int, seed: int, percent: int):
                         raise RuntimeError("a pair's first text is missing")
                     at = np.searchsorted(mine, own)
                     both = mine[np.minimum(at, len(mine) - 1)] == own if len(mine) else np.zeros(len(own), bool)
-                    added = own[~both][: len(own) * (100 - percent) // percent + 1].view(np.int64)
+                    added = own[~both][: len(own) * (100 - percent) // 100 + 1].view(np.int64)
                     rows.append((a[i], b[i], int(both.sum()), len(mine), len(own), added))
             if rows:
                 *numbers, added = zip(*rows)
@@ -203,8 +208,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, seed: int, percent: in
     """Exact overlap of the distinct pairs (a, b); a set with many partners is dealt over several tasks."""
     many = pairs.groupBy("a").count().where(F.col("count") > SALT_ROWS).select("a", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("_n"))
     dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("_n", F.lit(1))).cast("int").alias("salt"))
-    right = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "b", "salt", "text")
-    left = dealt.select("a", "salt").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "salt", "text")
+    right = dealt.join(texts.select(F.col("id").alias("b"), "text"), "b").select("a", "b", "salt", "text")
+    left = dealt.select("a", "salt").distinct().join(texts.select(F.col("id").alias("a"), "text"), "a").select("a", F.lit(None).cast("long").alias("b"), "salt", "text")
     width = max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = left.unionByName(right).repartition(width, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return rows.select("a", "b", "text").mapInArrow(_compare(n, seed, percent), "a long, b long, shared long, size_a long, size_b long, added array<long>")
@@ -243,7 +248,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     linked = f"100 * shared >= {percent} * (size_a + size_b - shared)"
     links = checked.where(linked).select("a", "b")
     found = checkpointed(components(links))
-    rest = _unsettled(member, star, checked, found, percent)
+    rest = _near_enough(_unsettled(member, star, checked, found, percent), texts, percent)
     if not rest.isEmpty():
         more = _verified(rest, texts, n, seed, percent).where(linked).select("a", "b")
         found = checkpointed(components(links.unionByName(more)))
@@ -273,8 +278,9 @@ def _unsettled(member: DataFrame, star: DataFrame, checked: DataFrame, found: Da
     part = part.join(found.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     # keys whose other sets lie in one component are settled: those have all been compared with the centre
     keyed = member.join(star, "key").where("id <> a").join(part, ["a", "id"])
-    mixed = keyed.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("key")
-    open_ = checkpointed(keyed.join(mixed, "key").select("key", "a", "id", "root", "size", "x", "y"))
+    mixed = keyed.groupBy("key").agg((F.min("root") != F.max("root")).alias("open"), F.count(F.lit(1)).alias("n")).where("open").select("key", "n")
+    grouped = checkpointed(keyed.join(mixed, "key").select("key", "n", "a", "id", "root", "size", "x", "y"))
+    few, open_ = (grouped.where(f"n {op} {SMALL}").drop("n") for op in ("<=", ">"))
     sets = checkpointed(open_.drop("key").distinct())
     own, other = ("size", "x", "y", "root"), ("size_", "x_", "y_", "root_")
 
@@ -283,12 +289,13 @@ def _unsettled(member: DataFrame, star: DataFrame, checked: DataFrame, found: Da
 
     room = f"(size + size_) * {100 - percent} div {100 + percent}"
     apart = f"root <> root_ AND abs(y - y_) + abs(x - x_) <= {room}"
-    added = checked.select("a", F.col("b").alias("id"), F.explode("added").alias("e")).join(sets, ["a", "id"])
+    direct = few.join(renamed(few).drop("a"), "key").where(f"id < b AND {apart}").select(F.col("id").alias("a"), "b")
+    added = checked.select("a", F.col("b").alias("id"), "added").join(sets, ["a", "id"]).withColumn("e", F.explode("added")).drop("added")
     several = added.groupBy("a", "e").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("a", "e")
     added = checkpointed(added.join(several, ["a", "e"]))
     one = added.join(renamed(added), ["a", "e"]).where(f"id < b AND {apart}")
     # where both lists are whole, the additions shared are counted, and so the least difference
-    whole = " AND ".join(f"x{i} <= size{i} * {100 - percent} div {percent} + 1" for i in ("", "_"))
+    whole = " AND ".join(f"x{i} <= size{i} * {100 - percent} div 100 + 1" for i in ("", "_"))
     one = one.groupBy("a", "id", "b").agg(F.count(F.lit(1)).alias("n"), F.first(F.expr(f"CASE WHEN {whole} THEN x + x_ + abs(y - y_) - {room} ELSE 0 END")).alias("need"))
     one = one.where("2 * n >= need").select(F.col("id").alias("a"), "b")
     # without a shared addition one of the two has at most half the room, which is at most this
@@ -296,7 +303,35 @@ def _unsettled(member: DataFrame, star: DataFrame, checked: DataFrame, found: Da
     heavy = open_.where(f"x <= size * {100 - percent} div {percent}")
     two = light.join(renamed(heavy).drop("a"), "key").where(f"id <> b AND root <> root_ AND x + x_ + abs(y - y_) <= {room}")
     two = two.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
-    return checkpointed(one.unionByName(two).distinct())
+    return direct.unionByName(one).unionByName(two).distinct()
+
+
+def _bucket_counts(own: np.ndarray) -> bytes:
+    """How many elements have each value of their top bits, up to 255; a quarter to half as many buckets as elements."""
+    bits = max(0, len(own).bit_length() - 2)
+    at = (own >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(own), np.int64)
+    return np.minimum(np.bincount(at, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _near_enough(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may link by their bucket counts: those differ by no more than the sets do."""
+    def run(batches):
+        for batch in batches:
+            size_a, size_b, one, two = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                u, w = (np.frombuffer(x, np.uint8).astype(np.int64) for x in (one[i], two[i]))
+                # a sum over buckets is cut off at 255 like a bucket itself
+                while len(u) > len(w):
+                    u = np.minimum(u.reshape(-1, 2).sum(1), 255)
+                while len(w) > len(u):
+                    w = np.minimum(w.reshape(-1, 2).sum(1), 255)
+                keep[i] = np.abs(u - w).sum() * (100 + percent) <= (size_a[i] + size_b[i]) * (100 - percent)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    counts = texts.select("id", "size", "counts")
+    rows = pairs.join(counts.withColumnsRenamed({"id": "a", "size": "size_a", "counts": "one"}), "a").join(counts.withColumnsRenamed({"id": "b", "size": "size_b", "counts": "two"}), "b")
+    return checkpointed(rows.select("a", "b", "size_a", "size_b", "one", "two").mapInArrow(run, "a long, b long"))
 
 
 def _light(docs: DataFrame, n: int, seed: int) -> DataFrame:
@@ -314,17 +349,22 @@ def _light(docs: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, n: int, seed: int) -> DataFrame:
-    """One text for each wanted (id, doc): that of the class's smallest document."""
+    """One text for each wanted (id, doc), that of the class's smallest document, with its set's size and bucket counts."""
     def run(batches):
         for batch in batches:
-            ids = [np.zeros(0, np.uint64)]
+            ids, sizes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
             for _, _, buf, offsets in words.texts(batch.column(1)):
-                ids.append(_identity(*shingle_sets(buf, offsets, n, seed))[0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(ids).view(np.int64)), batch.column(1)], names=["doc", "id", "text"])
-
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("text is not null").mapInArrow(run, "doc long, id long, text string")
-    found = keyed.join(wanted.withColumnRenamed("doc", "_doc"), (keyed["id"] == wanted["id"]) & keyed["doc"].eqNullSafe(F.col("_doc"))).select(keyed["id"], "text")
-    return found.groupBy("id").agg(F.min("text").alias("text"))
+                sets, first = shingle_sets(buf, offsets, n, seed)
+                ids.append(_identity(sets, first)[0])
+                sizes.append(np.diff(first).astype(np.int64))
+                counts += [_bucket_counts(sets[i:j]) for i, j in zip(first[:-1], first[1:])]
+            columns = [batch.column(0), pa.array(np.concatenate(ids).view(np.int64)), pa.array(np.concatenate(sizes)), pa.array(counts, pa.binary()), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "id", "size", "counts", "text"])
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("text is not null").mapInArrow(run, "doc long, id long, size long, counts binary, text string")
+    found = keyed.join(wanted.withColumnRenamed("doc", "_doc"), (keyed["id"] == wanted["id"]) & keyed["doc"].eqNullSafe(F.col("_doc"))).select(keyed["id"], keyed["size"], keyed["counts"], "text")
+    # documents of one id have one set
+    return found.groupBy("id").agg(F.first("size").alias("size"), F.first("counts").alias("counts"), F.min("text").alias("text"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
