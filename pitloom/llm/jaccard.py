@@ -44,6 +44,8 @@ from .session import checkpointed
 
 #: Partners of one set that one task compares in a row, about.
 SALT_ROWS = 64
+#: Columns with a set's elements counted in 32 hash buckets, 8 bits for each.
+COARSE = ("c0", "c1", "c2", "c3")
 #: Largest group of one key whose sets are paired without a look at their additions.
 SMALL = 32
 
@@ -175,7 +177,7 @@ def _packer(n: int, seed: int, schemes: list[Scheme], bits: int):
 
 
 def _compare(n: int, seed: int, percent: int):
-    """Rows (a, b, text), a's own text first (b null), to (a, b, shared, size_a, size_b, added).
+    """Rows (a, b, text), a's own text first (b null), to (a, b, shared, size_a, size_b, COARSE of b, added).
 
     added: the least elements that b has and a lacks, one more than b can have and a set linked with it lack.
     """
@@ -196,10 +198,11 @@ def _compare(n: int, seed: int, percent: int):
                     at = np.searchsorted(mine, own)
                     both = mine[np.minimum(at, len(mine) - 1)] == own if len(mine) else np.zeros(len(own), bool)
                     added = own[~both][: len(own) * (100 - percent) // 100 + 1].view(np.int64)
-                    rows.append((a[i], b[i], int(both.sum()), len(mine), len(own), added))
+                    coarse = np.minimum(np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=32), 255).astype(np.uint8).view(np.int64)
+                    rows.append((a[i], b[i], int(both.sum()), len(mine), len(own), *coarse.tolist(), added))
             if rows:
                 *numbers, added = zip(*rows)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), pa.array(added, pa.list_(pa.int64()))], names=["a", "b", "shared", "size_a", "size_b", "added"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), pa.array(added, pa.list_(pa.int64()))], names=["a", "b", "shared", "size_a", "size_b", *COARSE, "added"])
 
     return run
 
@@ -212,7 +215,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, seed: int, percent: in
     left = dealt.select("a", "salt").distinct().join(texts.select(F.col("id").alias("a"), "text"), "a").select("a", F.lit(None).cast("long").alias("b"), "salt", "text")
     width = max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = left.unionByName(right).repartition(width, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.select("a", "b", "text").mapInArrow(_compare(n, seed, percent), "a long, b long, shared long, size_a long, size_b long, added array<long>")
+    return rows.select("a", "b", "text").mapInArrow(_compare(n, seed, percent), "a long, b long, shared long, size_a long, size_b long, " + "".join(f"{c} long, " for c in COARSE) + "added array<long>")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -274,21 +277,23 @@ def _unsettled(member: DataFrame, star: DataFrame, checked: DataFrame, found: Da
     Their additions and lacks differ by |x - x'| + |y - y'| at least if they
     share an addition, and by x + x' + |y - y'| if they share none.
     """
-    part = checked.select("a", F.col("b").alias("id"), F.col("size_b").alias("size"), (F.col("size_b") - F.col("shared")).alias("x"), (F.col("size_a") - F.col("shared")).alias("y"))
+    part = checked.select("a", F.col("b").alias("id"), F.col("size_b").alias("size"), (F.col("size_b") - F.col("shared")).alias("x"), (F.col("size_a") - F.col("shared")).alias("y"), *COARSE)
     part = part.join(found.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     # keys whose other sets lie in one component are settled: those have all been compared with the centre
     keyed = member.join(star, "key").where("id <> a").join(part, ["a", "id"])
     mixed = keyed.groupBy("key").agg((F.min("root") != F.max("root")).alias("open"), F.count(F.lit(1)).alias("n")).where("open").select("key", "n")
-    grouped = checkpointed(keyed.join(mixed, "key").select("key", "n", "a", "id", "root", "size", "x", "y"))
+    grouped = checkpointed(keyed.join(mixed, "key").select("key", "n", "a", "id", "root", "size", "x", "y", *COARSE))
     few, open_ = (grouped.where(f"n {op} {SMALL}").drop("n") for op in ("<=", ">"))
     sets = checkpointed(open_.drop("key").distinct())
-    own, other = ("size", "x", "y", "root"), ("size_", "x_", "y_", "root_")
+    own, other = ("size", "x", "y", "root", *COARSE), ("size_", "x_", "y_", "root_", *(f"{c}_" for c in COARSE))
 
     def renamed(rows: DataFrame) -> DataFrame:
         return rows.withColumnsRenamed({"id": "b", **dict(zip(own, other))})
 
     room = f"(size + size_) * {100 - percent} div {100 + percent}"
-    apart = f"root <> root_ AND abs(y - y_) + abs(x - x_) <= {room}"
+    # counts differ by no more than the sets do
+    coarse = " + ".join(f"abs((shiftright({c}, {8 * i}) & 255) - (shiftright({c}_, {8 * i}) & 255))" for c in COARSE for i in range(8))
+    apart = f"root <> root_ AND abs(y - y_) + abs(x - x_) <= {room} AND {coarse} <= {room}"
     direct = few.join(renamed(few).drop("a"), "key").where(f"id < b AND {apart}").select(F.col("id").alias("a"), "b")
     added = checked.select("a", F.col("b").alias("id"), "added").join(sets, ["a", "id"]).withColumn("e", F.explode("added")).drop("added")
     several = added.groupBy("a", "e").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("a", "e")
