@@ -1,13 +1,14 @@
 """Quality rules whose cutoffs hold the share of good texts they reject below a limit.
 
-Every rule scores a text; a high score is bad.  For each stratum and rule, the
-cutoffs of a fixed grid are tried from the mildest on, against the labelled
-texts that are good.  A cutoff passes if an exact binomial test refutes, at
-the corrected level, that the rule rejects more than its share of the limit;
-the first that fails ends the walk (fixed-sequence testing), so only the
-number of strata times rules enters the Bonferroni correction.  The limit is
-split evenly over the rules, so by the union bound the whole verdict keeps it
-with the stated confidence in every stratum at once.
+Every rule scores a text; a high score is bad.  For each stratum the rules are
+tightened in turn, one notch of a fixed grid at a time, from the mildest
+cutoffs on.  After each notch all rules so far are judged together against the
+labelled texts that are good: it passes if an exact binomial test refutes, at
+the corrected level, that together they reject more than the limit; the first
+that fails ends the walk (fixed-sequence testing).  So the whole limit is
+shared by the rules that fire, and only the number of strata enters the
+Bonferroni correction: the verdict keeps the limit with the stated confidence
+in every stratum at once.
 """
 
 from __future__ import annotations
@@ -44,6 +45,9 @@ RULES: dict[str, tuple[str, list[float]]] = {
     "long_words": ("word_chars / greatest(n_words, 1)", [40.0, 30.0, 25.0, 20.0, 16.0, 14.0]),
 }
 
+#: The walk: (rule, cutoff) in the order in which the rules are tightened.
+STEPS = [(rule, grid[i]) for i in range(max(len(grid) for _, grid in RULES.values())) for rule, (_, grid) in RULES.items() if i < len(grid)]
+
 
 def _group(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     starts, ends, first = words.spans(buf, offsets)
@@ -126,15 +130,15 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "lang", limi
     document with several labels counts as good if one of them says so, which
     can only make the cutoffs milder.  Texts that fail the base rule are not
     counted.  All labelled rows are used; what reaches the driver is a few
-    counts for each stratum.  A stratum with no labels gets no cutoff.
+    counts for each stratum.  A stratum with too few labels to refute anything
+    (with four strata, under 144 good texts) gets no cutoff.
     """
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("_quality")).where("_quality = 1").select("doc_id")
     held = stats.where(~base_failed()).join(good, "doc_id", "left_semi")
-    counts = [F.sum(F.expr(f"CAST({score} > {cut}D AS LONG)")).alias(f"{rule}_{i}") for rule, (score, grid) in RULES.items() for i, cut in enumerate(grid)]
-    table = checkpointed(held.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *counts))
-    strata = table.count()
-    level = (1 - confidence) / max(1, strata * len(RULES))
-    share = limit / len(RULES)
+    first = F.least(*(F.coalesce(*(F.when(F.expr(f"{RULES[r][0]} > {cut}D"), F.lit(i)) for i, (r, cut) in enumerate(STEPS) if r == rule)) for rule in RULES))
+    counts = [F.count(F.when(F.col("_first") <= i, 1)).alias(f"over_{i}") for i in range(len(STEPS))]
+    table = checkpointed(held.withColumn("_first", first).groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *counts))
+    level = (1 - confidence) / max(1, table.count())
 
     def walk(batches):
         import pandas as pd
@@ -142,14 +146,12 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "lang", limi
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
-                for rule, (_, grid) in RULES.items():
-                    passed = None
-                    for i, cut in enumerate(grid):
-                        if _binomial_at_most(int(row[f"{rule}_{i}"]), int(row["n"]), share) > level:
-                            break
-                        passed = cut
-                    if passed is not None:
-                        out.append((row["stratum"], rule, passed))
+                passed = {}
+                for i, (rule, cut) in enumerate(STEPS):
+                    if _binomial_at_most(int(row[f"over_{i}"]), int(row["n"]), limit) > level:
+                        break
+                    passed[rule] = cut
+                out += [(row["stratum"], rule, cut) for rule, cut in passed.items()]
             yield pd.DataFrame(out, columns=["stratum", "rule", "cutoff"])
 
     return table.mapInPandas(walk, "stratum string, rule string, cutoff double")

@@ -94,6 +94,22 @@ def test_quality_keeps_columns_and_bounds_risk(spark, docs):
     assert empty == 4200
 
 
+def test_quality_certifies_small_strata(spark):
+    good = " ".join(f"w{i}" for i in range(30))
+    odd = " ".join(f"W{'W' * i}" for i in range(30))
+    junk = " ".join(f"#${i}#" for i in range(30))
+    texts = [(lang, t) for lang in ("de", "en", "es") for t in [good] * 150 + [junk] * 5] + [("fr", good)] * 143 + [("fr", junk)] * 5
+    texts += [("it", good)] * 200 + [("it", odd)] * 20 + [("it", junk)] * 5
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(t != junk), 0) for i, (_, t) in enumerate(texts)], "doc_id long, quality int, toxic int")
+    four = docs.where("lang <> 'it'")
+    lost = collections.Counter((r.lang, r.text == junk) for r in quality.keep_good(four, labels).collect())
+    assert lost == {("de", False): 150, ("en", False): 150, ("es", False): 150, ("fr", False): 143, ("fr", True): 5}
+    # a rule that fires on too many good texts ends the walk before them; what passed before it holds
+    kept = collections.Counter(r.text for r in quality.keep_good(docs.where("lang = 'it'"), labels).collect())
+    assert kept == {good: 200, odd: 20}
+
+
 def test_binomial_tail():
     from math import comb
 
