@@ -64,7 +64,7 @@ def _later_copies(docs: DataFrame, min_lines: int) -> tuple[DataFrame, DataFrame
     return texts, gone
 
 
-def without_repeated_runs(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+def without_repeated_runs(docs: DataFrame, min_lines: int = 1) -> DataFrame:
     """docs with a `text` that lacks later copies, and with `_n_lines` and `_n_removed`.
 
     A run is min_lines or more lines with a word, one after another; lines

@@ -188,6 +188,18 @@ def test_lines(spark, k):
     assert sorted((str(r.doc_id), str(r.text), r._n_removed) for r in out.collect()) == sorted(expect)
 
 
+def test_single_repeated_lines_go(spark, tmp_path):
+    import corpus_pipeline
+
+    licence = " ".join(f"licence{i}" for i in range(60))
+    rows = [(0, f"a\n{licence}\nb", "en", "s", 0), (1, f"c\n{licence}\nd", "en", "s", 0), (2, licence, "en", "s", 0), (3, "one", "en", "s", 0), (4, "one", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.n_removed for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()} == {0: 0, 1: 1, 2: 1, 3: 0, 4: 1}
+    got = {r.doc_id: r.text for r in corpus_pipeline.distinct_lines(spark, docs, "").collect()}
+    assert got == {0: rows[0][1], 1: "c\nd", 2: "", 3: "one", 4: ""}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
