@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import numbered
 from .session import checkpointed
 
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
@@ -76,27 +77,59 @@ def _written(schemas: dict[str, dict]):
     return run
 
 
+def _chains(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, root, dist) of calls that wait for one call each, given as (conv_id, call_id, on).
+
+    root is the first call up the chain that is not among them, dist calls
+    away.  Pointers double, so a chain takes rounds in the logarithm of its
+    length; a call on a cycle, or that leads to one, has no row.
+    """
+    key = ["conv_id", "call_id"]
+    open_, found = edges.withColumn("dist", F.lit(1)), None
+    while True:
+        ahead = open_.select("conv_id", F.col("call_id").alias("on"), F.col("on").alias("_on"), F.col("dist").alias("_dist"), F.lit(False).alias("_ends"))
+        if found is not None:
+            ahead = ahead.unionByName(found.select("conv_id", F.col("call_id").alias("on"), F.col("root").alias("_on"), F.col("dist").alias("_dist"), F.lit(True).alias("_ends")))
+        step = checkpointed(open_.join(ahead, ["conv_id", "on"], "left"))
+        ends = step.where("coalesce(_ends, true)").select(*key, F.coalesce("_on", "on").alias("root"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"))
+        if ends.isEmpty():  # a round reaches twice as far, so what is left has no end
+            return ends if found is None else found
+        found = checkpointed(ends if found is None else found.unionByName(ends))
+        open_ = step.where("not _ends").select(*key, F.col("_on").alias("on"), (F.col("dist") + F.col("_dist")).alias("dist"))
+
+
 def _levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): calls that wait for others come after them; a call on a cycle has no row.
 
-    A round for each level of the dependencies.
+    Chains of calls that wait for one call each count as one step; a round for
+    each level of the calls that wait for several.
     """
     key = ["conv_id", "call_id"]
     edges = checkpointed(calls.select(*key, F.explode("depends_on").alias("on")).distinct())
     known = calls.select("conv_id", F.col("call_id").alias("on")).distinct()
     edges = checkpointed(edges.join(known, ["conv_id", "on"], "left_semi"))
-    waiting = edges.select(*key).distinct()
-    if waiting.isEmpty():
-        return calls.select(*key).distinct().withColumn("level", F.lit(0))
-    done = checkpointed(calls.select(*key).distinct().join(waiting, key, "left_anti").withColumn("level", F.lit(0)))
-    left = waiting
+    waits = checkpointed(edges.groupBy(*key).agg(F.count(F.lit(1)).alias("n")))
+    every = calls.select(*key).distinct()
+    done = every.join(waits, key, "left_anti").withColumn("level", F.lit(0))
+    if waits.isEmpty():
+        return done
+    chains = _chains(edges.join(waits.where("n = 1"), key, "left_semi"))
+    several = checkpointed(waits.where("n > 1").select(*key))
+    if several.isEmpty():
+        return done.unionByName(chains.select(*key, F.col("dist").alias("level")))
+    ends = chains.select("conv_id", F.col("call_id").alias("on"), "root", "dist")
+    ends = ends.unionByName(every.join(waits.where("n = 1"), key, "left_anti").select("conv_id", F.col("call_id").alias("on"), F.col("call_id").alias("root"), F.lit(0).alias("dist")))
+    edges = checkpointed(edges.join(several, key, "left_semi").join(ends, ["conv_id", "on"], "left").select(*key, "root", "dist"))
+    done, left = checkpointed(done), several
     while True:
-        ready = edges.join(left, key, "left_semi").join(done.select("conv_id", F.col("call_id").alias("on"), "level"), ["conv_id", "on"], "left")
-        ready = checkpointed(ready.groupBy(*key).agg(F.max("level").alias("level"), F.max(F.col("level").isNull()).alias("open")).where("not open").select(*key, (F.col("level") + 1).alias("level")))
+        ready = edges.join(left, key, "left_semi").join(done.select("conv_id", F.col("call_id").alias("root"), "level"), ["conv_id", "root"], "left")
+        ready = checkpointed(ready.groupBy(*key).agg(F.max(F.col("level") + F.col("dist") + 1).alias("level"), F.max(F.col("level").isNull()).alias("open")).where("not open").select(*key, "level"))
         if ready.isEmpty():
-            return done
+            break
         done = checkpointed(done.unionByName(ready))
         left = checkpointed(left.join(ready, key, "left_anti"))
+    below = chains.join(done.select("conv_id", F.col("call_id").alias("root"), "level"), ["conv_id", "root"]).select(*key, (F.col("level") + F.col("dist")).alias("level"))
+    return done.unionByName(below)
 
 
 def link_tool_calls(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -138,15 +171,25 @@ def link_tool_calls(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 
 
 def turns_as_calls(conversations: DataFrame) -> DataFrame:
-    """Events of plain conversations: a user's turn calls `respond`, the assistant's next turn is its result."""
-    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    """Events of plain conversations: a user's turn calls `respond`, the assistant's next turn is its result.
+
+    Each call waits for the call before it in its conversation.  That one is
+    found by positions in all calls, so a long conversation is not one task.
+    """
     turn = F.col("turn").cast("long")
-    return conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn"),
+    calls = conversations.where("role = 'user'").select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn")).where("conv_id is not null and turn is not null").distinct()
+    calls = checkpointed(numbered(calls, [F.col("conv_id"), F.col("turn")], "_at"))
+    before = calls.select("conv_id", (F.col("_at") + 1).alias("_at"), F.concat_ws(":", "conv_id", "turn").alias("_before"))
+    before = calls.join(before, ["conv_id", "_at"]).select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.lit("user").alias("_role"), "_before")
+    rows = conversations.select("conv_id", "role", "text", turn.alias("turn")).withColumn("conv_id", F.col("conv_id").cast("long"))
+    rows = rows.join(before, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn")) & (F.col("role") == F.col("_role")), "left")
+    user, assistant, turn = F.col("role") == "user", F.col("role") == "assistant", F.col("turn")
+    return rows.select(
+        "conv_id", "turn",
         F.when(user, "call").when(assistant, "result").otherwise("message").alias("kind"), "role",
         F.when(user, F.concat_ws(":", "conv_id", turn)).when(assistant, F.concat_ws(":", "conv_id", turn - 1)).alias("call_id"),
         F.when(user, "respond").alias("name"),
         F.when(user, F.to_json(F.struct(F.col("text").alias("prompt"), F.length("text").alias("chars")))).alias("arguments"),
-        F.array().cast("array<string>").alias("depends_on"),
+        F.when(F.col("_before").isNotNull(), F.array("_before")).otherwise(F.array().cast("array<string>")).alias("depends_on"),
         F.when(~user | F.col("role").isNull(), F.col("text")).alias("content"),
     )

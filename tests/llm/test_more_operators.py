@@ -99,6 +99,32 @@ def test_conversations_as_calls(spark):
     assert got[(1, 0, "message", None)] == 1 and got[(3, 0, "result", "orphan")] == 1 and sum(got.values()) == len(rows)
 
 
+def test_conversations_keep_their_order(spark):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(40)] + [(2, 4, "user", "b"), (2, 1, "user", "a"), (2, 1, "user", "a"), (2, 5, "assistant", "c"), (None, 1, "user", "x"), (3, None, "user", "y")]
+    conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.link_tool_calls(chat.turns_as_calls(conversations), queries.SCHEMAS).collect()
+    assert len(out) == len(rows)
+    step = {(r.conv_id, r.turn): r.step for r in out}
+    assert [step[(1, t)] for t in range(40)] == list(range(40))
+    assert (step[(2, 1)], step[(2, 4)], step[(2, 5)], step[(3, None)]) == (0, 2, 3, 0)
+
+
+def test_levels(spark):
+    rng = random.Random(3)
+    on = {f"c{i}": [f"c{j}" for j in rng.sample(range(i), min(i, rng.choice([0, 1, 1, 1, 2, 3])))] for i in range(60)}
+    on |= {f"l{i}": [f"l{i - 1}"] if i else [] for i in range(37)} | {"x": ["y"], "y": ["x"], "z": ["x"], "self": ["self"], "m": ["z", "c1"], "after_m": ["m"]}
+
+    def level(k, path=()):
+        if k in path:
+            return None
+        below = [level(j, (*path, k)) for j in on[k]]
+        return None if None in below else max(below, default=-1) + 1
+
+    want = {k: v for k in on if (v := level(k)) is not None}
+    calls = spark.createDataFrame([(1, k, v) for k, v in on.items()], "conv_id long, call_id string, depends_on array<string>")
+    assert sorted((r.call_id, r.level) for r in chat._levels(calls).collect()) == sorted(want.items())
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     n, d = 3000, 32
