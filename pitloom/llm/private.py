@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from .session import checkpointed
 
-_EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+_EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[A-Za-z0-9\-]{1,63}\.){1,126}[A-Za-z]{2,63}"
 _KEYWORD = r"(?i:token|secret|password|passwd|api[_\-]?key)[\"']?\s?[=:]\s?[\"']?"
-_SECRET = rf"(?<![\p{{L}}]){_KEYWORD}(?=[A-Za-z+/_\-]{{0,127}}[0-9])[A-Za-z0-9+/_\-]{{8,128}}"
+#: Dots lie between its characters, so that a sentence's full stop is no part of it.
+_SECRET_CHAR = r"[A-Za-z0-9+/_=~\-]"
+_SECRET = rf"(?<![\p{{L}}]){_KEYWORD}(?=[A-Za-z+/_=~.\-]*+[0-9])(?=[A-Za-z0-9+/_=~.\-]{{7}}\.*+{_SECRET_CHAR}){_SECRET_CHAR}++(?:\.++{_SECRET_CHAR}++)*+"
 _ACCESS = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 _PHONE = r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w\-])\d{3}-\d{3}-\d{4}(?![\d\-])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -148,7 +150,8 @@ def _drawn(key: str, family: str, kind: Column, canon: Column, attempt: Column)
         return F.concat(F.lower(_name(h)), F.lit("."), F.lower(_name(F.substring(h, 25, 30))), (_number(h, 50, 4) % 90 + 10).cast("string"), F.lit("@example."), _pick(["com", "net", "org"], _number(h, 60, 2)))
     if family == "access_key":
         return F.concat(F.lit("AKIA"), F.upper(F.substring(h, 1, 16)))
-    more = F.concat(h, _keyed_hash(key, F.concat_ws("|", message, F.lit("more"))))
+    blocks = F.transform(F.sequence(F.lit(1), F.ceil(F.greatest(n, F.lit(1)) / 64).cast("int")), lambda i: F.when(i == 1, h).when(i == 2, _keyed_hash(key, F.concat_ws("|", message, F.lit("more")))).otherwise(_keyed_hash(key, F.concat_ws("|", message, F.lit("more"), i.cast("string")))))
+    more = F.array_join(blocks, "")
     place = {c: F.translate(more, "0123456789abcdef", t) for c, t in (("digit", "0123456789012345"), ("lower", "cdefghijklmnopqr"), ("upper", "CDEFGHIJKLMNOPQR"))}
     hexed = canon.rlike("^[0-9a-f]+$")
     at = lambda x, i: F.substring(x, i + 1, F.lit(1))

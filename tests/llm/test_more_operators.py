@@ -51,6 +51,21 @@ def test_surrogates(spark):
     assert empty.count() == 0
 
 
+def test_long_secrets_go_whole(spark):
+    same = "Ab3" * 60
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.SflKxwRJSMeKKF2QT4"
+    texts = [f"token={same}XYZ1 end", f"token={same}XYZ2 end", "password: " + "q" * 140 + "7 end", f"token={jwt}. Then", f"secret={jwt} then", "api_key=c2VjcmV0MQ== end", f"mail {'l' * 70}@example.com end", "token=abc1... end"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in enumerate(texts)], DOCS)
+    out = {r.doc_id: r for r in private.with_surrogates(docs).collect()}
+    got = {i: r.text for i, r in out.items()}
+    assert [out[i].n_secret for i in range(8)] == [1, 1, 1, 1, 1, 1, 0, 0] and out[6].n_email == 1
+    assert got[0] != got[1] and all(len(got[i]) == len(texts[i]) for i in range(6))
+    assert all("XYZ" not in got[i] and same[-9:] not in got[i] for i in (0, 1)) and "qqqq" not in got[2] and "llll" not in got[6]
+    new = got[3].removeprefix("token=").removesuffix(". Then")
+    assert got[4] == f"secret={new} then" and all(a != b for a, b in zip(new.split("."), jwt.split("."))) and new.count(".") == 2
+    assert "c2VjcmV0MQ" not in got[5] and got[5].endswith("== end") and got[7] == texts[7]
+
+
 @pytest.mark.parametrize("limit", [50, 0])
 def test_surrogates_redraw_collisions(spark, monkeypatch, limit):
     monkeypatch.setattr(private, "_LATIN", ["ba", "be"])
