@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import checkpointed
+from .session import checkpointed, forget
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("_m").alias("v")).where("u <> v").distinct()
         low = _lowest(large)
         small = large.join(low, "u").select("v", "_m", "u")
-        e = checkpointed(small.select(F.col("v").alias("u"), F.col("_m").alias("v")).unionByName(small.select("u", F.col("_m").alias("v"))).where("u <> v").distinct())
+        last, e = e, checkpointed(small.select(F.col("v").alias("u"), F.col("_m").alias("v")).unionByName(small.select("u", F.col("_m").alias("v"))).where("u <> v").distinct())
+        forget(last)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state:
             break

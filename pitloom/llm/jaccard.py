@@ -15,7 +15,10 @@ segment need agree; of a lost pair both sets would be such.
 Keys are counted in packed form (a few bytes for each key, sorted in numpy);
 only keys with two different sets become rows.  In each key's group the sets
 are first compared with a centre, the set that shares most keys with others:
-of a family of near copies that is the original or one close to it.  A link
+of a family of near copies that is the original or one close to it.  Each set
+meets first the one centre that it shares most keys with; keys whose sets then
+lie in one component are settled, and only of the others every set meets the
+key's centre.  A link
 between sets that this leaves in different components has one of two forms.
 Either both hold an element that the centre lacks; then they meet under that
 element, and a prefix of such elements in hash order suffices.  Or they don't;
@@ -37,10 +40,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import packed, words
 from .components import components
-from .session import checkpointed
+from .session import checkpointed, forget
 
 #: Partners of one set that one task compares in a row, about.
 SALT_ROWS = 64
@@ -164,14 +168,21 @@ def _keys(sets: np.ndarray, first: np.ndarray, schemes: list[Scheme]) -> tuple[n
     return np.concatenate(keys), np.concatenate(who)
 
 
-def _packer(n: int, seed: int, schemes: list[Scheme], bits: int):
+def _packer(n: int, seed: int, schemes: list[Scheme], buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = np.zeros(0, np.uint64)  # sets of this task, each indexed once
         for batch in batches:
             for _, _, buf, offsets in words.texts(batch.column(0)):
                 sets, first = shingle_sets(buf, offsets, n, seed)
                 one, _ = _identity(sets, first)
-                keys, who = _keys(sets, first, schemes)
-                yield from packed.pack(keys, one[who], bits)
+                fresh = np.zeros(len(one), bool)
+                fresh[np.unique(one, return_index=True)[1]] = True
+                fresh &= ~np.isin(one, done)
+                done = np.concatenate([done, one[fresh]])
+                size = np.diff(first)
+                sets, one, size = sets[np.repeat(fresh, size)], one[fresh], size[fresh]
+                keys, who = _keys(sets, np.concatenate([[0], np.cumsum(size)]), schemes)
+                yield from packed.pack(keys, one[who], buckets, short=True)
 
     return run
 
@@ -226,40 +237,59 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     with nothing.  Sets link if 100 * intersection >= percent * union;
     component_id is the smallest doc_id that links reach.  Equal texts, and
     repeated rows, share a component.  Null doc_ids are never the smallest.
+    An empty table gives an empty one.
     """
+    rows, _ = _rooted(docs, n, percent)
+    return rows.select("doc_id", "n_shingles", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _rooted(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int]:
+    """(doc_id, n_shingles, id, root, component_id), id the row's set and root its component; and the seed of the hashes."""
     seed = 0
     while True:
         light = checkpointed(_light(docs, n, seed))
         # two sets under one 64-bit id: take other hashes
-        if not light.where("id is not null").groupBy("id").agg((F.min("id2") != F.max("id2")).alias("x")).where("x").limit(1).count():
+        if light.where("id is not null").groupBy("id").agg((F.min("id2") != F.max("id2")).alias("x")).where("x").isEmpty():
             break
+        forget(light)
         seed += 1
-    classes = light.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("size"))
+    classes = checkpointed(light.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("size")))
     largest = classes.agg(F.max("size")).first()[0] or 1
     bounds = _bounds(percent, largest)
     band = F.expr("0" + "".join(f" + CAST(size > {u} AS INT)" for u in bounds))
     sizes = {r[0]: r[1] for r in classes.groupBy(band.alias("band")).count().collect()}  # a few for each power of the size
     schemes = allocate(percent, sizes, largest)
     total = sum(c * sum(s.m + (bounds[k] if s.v == 2 else 0) for s in schemes[k : k + 2]) for k, c in sizes.items())
-    bits = packed.bits_for(total)
-    member = checkpointed(packed.shared(docs.select("text").mapInArrow(_packer(n, seed, schemes, bits), packed.SCHEMA)))
+    buckets = packed.buckets_for(docs.sparkSession, total)
+    member = checkpointed(packed.shared(docs.select("text").mapInArrow(_packer(n, seed, schemes, buckets), packed.SCHEMA)).distinct())
     star = checkpointed(_centres(member))
-    pairs = checkpointed(member.join(star, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = checkpointed(_texts(docs, wanted.join(classes, "id").select("id", "doc"), n, seed))
-    checked = checkpointed(_verified(pairs, texts, n, seed, percent))
+    near = checkpointed(member.join(star, "key").where("id <> a"))
+    texts = checkpointed(_texts(docs, member.select("id").distinct().join(classes, "id").select("id", "doc"), n, seed))
     linked = f"100 * shared >= {percent} * (size_a + size_b - shared)"
+
+    # each set with the centre that it shares most keys with
+    shared = near.groupBy("id", "a").agg(F.count(F.lit(1)).alias("keys"))
+    pairs = checkpointed(shared.groupBy("id").agg(F.max_by("a", F.struct("keys", "a")).alias("a")).select("a", F.col("id").alias("b")))
+    checked = checkpointed(_verified(pairs, texts, n, seed, percent))
+    found = checkpointed(components(checked.where(linked).select("a", "b")))
+    # a key whose sets lie in one component is settled; of the others every set meets the key's centre
+    root = found.select(F.col("node").alias("id"), "root")
+    spread = member.join(root, "id", "left").groupBy("key").agg((F.min(F.coalesce("root", "id")) != F.max(F.coalesce("root", "id"))).alias("open")).where("open").select("key")
+    open_ = checkpointed(near.join(spread, "key"))
+    forget(member, near)
+    more = checkpointed(open_.select("a", F.col("id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+    checked = checked.unionByName(checkpointed(_verified(more, texts, n, seed, percent)))
     links = checked.where(linked).select("a", "b")
     found = checkpointed(components(links))
-    rest = _near_enough(_unsettled(member, star, checked, found, percent), texts, percent)
+    rest = _near_enough(_unsettled(open_, checked, found, percent), texts, percent)
     if not rest.isEmpty():
-        more = _verified(rest, texts, n, seed, percent).where(linked).select("a", "b")
-        found = checkpointed(components(links.unionByName(more)))
+        last = _verified(rest, texts, n, seed, percent).where(linked).select("a", "b")
+        found = checkpointed(components(links.unionByName(last)))
+    forget(texts, open_, rest, star, pairs, more)
     group = found.join(classes.select(F.col("id").alias("node"), "doc"), "node").groupBy("root").agg(F.min("doc").alias("component"))
-    node = found.join(group, "root").select(F.col("node").alias("id"), "component")
-    answer = classes.select("id", "doc").join(node, "id", "left").select("id", F.coalesce("component", "doc").alias("component_id"))
-    out = light.join(answer, "id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    node = found.join(group, "root").select(F.col("node").alias("id"), "root", "component")
+    answer = classes.select("id", "doc").join(node, "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.coalesce("component", "doc").alias("component_id"))
+    return light.join(answer, "id", "left").select("doc_id", "n_shingles", "id", "root", "component_id"), seed
 
 
 def _centres(member: DataFrame) -> DataFrame:
@@ -269,8 +299,8 @@ def _centres(member: DataFrame) -> DataFrame:
     return member.join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", "id")).alias("a"))
 
 
-def _unsettled(member: DataFrame, star: DataFrame, checked: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs under one centre, in different components, that their differences from the centre let link.
+def _unsettled(near: DataFrame, checked: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of one key, of (key, id, a) with a the key's centre, in different components, that their differences from the centre let link.
 
     Let x be what a set adds to the centre and y what it lacks.  Sets of sizes
     s and t differ in at most (s + t)(1 - p) / (1 + p) elements if they link.
@@ -280,7 +310,7 @@ def _unsettled(member: DataFrame, star: DataFrame, checked: DataFrame, found: Da
     part = checked.select("a", F.col("b").alias("id"), F.col("size_b").alias("size"), (F.col("size_b") - F.col("shared")).alias("x"), (F.col("size_a") - F.col("shared")).alias("y"), *COARSE)
     part = part.join(found.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     # keys whose other sets lie in one component are settled: those have all been compared with the centre
-    keyed = member.join(star, "key").where("id <> a").join(part, ["a", "id"])
+    keyed = near.join(part, ["a", "id"])
     mixed = keyed.groupBy("key").agg((F.min("root") != F.max("root")).alias("open"), F.count(F.lit(1)).alias("n")).where("open").select("key", "n")
     grouped = checkpointed(keyed.join(mixed, "key").select("key", "n", "a", "id", "root", "size", "x", "y", *COARSE))
     few, open_ = (grouped.where(f"n {op} {SMALL}").drop("n") for op in ("<=", ">"))
@@ -306,7 +336,7 @@ def _unsettled(member: DataFrame, star: DataFrame, checked: DataFrame, found: Da
     # without a shared addition one of the two has at most half the room, which is at most this
     light = open_.where(f"2 * x <= size * {100 - percent} div {percent}")
     heavy = open_.where(f"x <= size * {100 - percent} div {percent}")
-    two = light.join(renamed(heavy).drop("a"), "key").where(f"id <> b AND root <> root_ AND x + x_ + abs(y - y_) <= {room}")
+    two = light.join(renamed(heavy).drop("a"), "key").where(f"id <> b AND root <> root_ AND x + x_ + abs(y - y_) <= {room} AND {coarse} <= {room}")
     two = two.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
     return direct.unionByName(one).unionByName(two).distinct()
 
@@ -339,16 +369,20 @@ def _near_enough(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return checkpointed(rows.select("a", "b", "size_a", "size_b", "one", "two").mapInArrow(run, "a long, b long"))
 
 
+def _sets_of(column: pa.Array, n: int, seed: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Size and the two hashes of each text's set; the hashes are null where it has none."""
+    parts = []
+    for _, _, buf, offsets in words.texts(column):
+        sets, first = shingle_sets(buf, offsets, n, seed)
+        parts.append((np.diff(first), *_identity(sets, first)))
+    size, one, two = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    return pa.array(size, pa.int64()), pa.array(one.view(np.int64), mask=size == 0), pa.array(two.view(np.int64), mask=size == 0)
+
+
 def _light(docs: DataFrame, n: int, seed: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            parts = []
-            for _, _, buf, offsets in words.texts(batch.column(1)):
-                sets, first = shingle_sets(buf, offsets, n, seed)
-                parts.append((np.diff(first), *_identity(sets, first)))
-            size, one, two = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-            none = size == 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(one.view(np.int64), mask=none), pa.array(two.view(np.int64), mask=none)], names=["doc_id", "n_shingles", "id", "id2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_sets_of(batch.column(1), n, seed)], names=["doc_id", "n_shingles", "id", "id2"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, id long, id2 long")
 
@@ -373,14 +407,25 @@ def _texts(docs: DataFrame, wanted: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: that of the smallest doc_id.
+    """docs with one row of each component: the first by doc_id (null last), then by its set, then by its text.
 
-    Texts without words are in no group and all stay, as do rows without a
-    doc_id; of repeated rows of one doc_id and text one stays.
+    Rows with one doc_id and different texts are judged each for itself.  A
+    repeated row stays once.  Texts without words are in no group: all of them
+    stay, repeated ones too.  All columns of docs are kept as they are,
+    whatever their names; an empty table stays empty.
     """
-    answer = jaccard_components(docs, n, percent)
-    drop = answer.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    rows = docs.withColumn("_same", F.xxhash64("text"))
-    kept = rows.join(drop, F.col("doc_id").cast("long") == F.col("_drop"), "left_anti")
-    known = kept.where("doc_id is not null").dropDuplicates(["doc_id", "_same"])
-    return known.unionByName(kept.where("doc_id is null")).select(*docs.columns)
+    rows, seed = _rooted(docs, n, percent)
+    first = rows.where("id is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("first"))
+    first = checkpointed(first.select(F.col("first.doc_id").alias("_first_doc"), F.col("first.id").alias("_first_id")))
+    whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.col("text").alias("_text"))
+    schema = T.StructType([whole.schema["_row"], whole.schema["_doc"], T.StructField("_id", T.LongType())])
+
+    def identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, one, _ = _sets_of(batch.column(2), n, seed)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), one], names=["_row", "_doc", "_id"])
+
+    known = checkpointed(whole.mapInArrow(identified, schema))
+    kept = known.join(first, known["_id"].eqNullSafe(first["_first_id"]) & known["_doc"].eqNullSafe(first["_first_doc"]), "left_semi").where("_id is not null")
+    kept = kept.groupBy("_doc", "_id").agg(F.min_by("_row", F.xxhash64("_row.text")).alias("_row"))
+    return kept.select("_row.*").unionByName(known.where("_id is null").select("_row.*"))

@@ -1,10 +1,10 @@
 """Which keys occur with several ids, counted in packed rows.
 
 A task sorts the keys of a group of texts and writes one row for each bucket
-of the key space, some ten to sixteen bytes for each key.  A key that several
-ids of the group share is written once for the count, and its ids go along in
-a row of their own, so a key that many texts share is gathered before the
-shuffle.
+of the key space that has any, some ten to sixteen bytes for each key.  A key
+that several ids of the group share is written once for the count, and its ids
+go along in a row of their own, so a key that many texts share is gathered
+before the shuffle.  A bucket holds about as many keys whatever the corpus.
 """
 
 from __future__ import annotations
@@ -14,49 +14,71 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .words import mix
+
 #: Keys that one task sorts at a time, about.
-BUCKET_KEYS = 400_000
+BUCKET_KEYS = 1_000_000
+
+SCHEMA = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("local", T.BooleanType()), T.StructField("short", T.BooleanType()), *(T.StructField(c, T.BinaryType()) for c in ("keys", "check", "ids", "which"))])
+
+
+def buckets_for(spark: SparkSession, keys: float) -> int:
+    """Equal parts of the key space: one for each shuffle partition at least."""
+    return min(1 << 30, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(keys / BUCKET_KEYS)))
 
-SCHEMA = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("local", T.BooleanType()), T.StructField("keys", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("which", T.BinaryType())])
 
+def _same(*columns: np.ndarray) -> np.ndarray:
+    """Which entries equal the one before in all columns."""
+    out = np.zeros(len(columns[0]), bool)
+    out[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in columns])
+    return out
 
-def bits_for(keys: float) -> int:
-    """Bits of the key that choose its bucket."""
-    return min(24, max(8, math.ceil(math.log2(max(1.0, keys / BUCKET_KEYS)))))
 
+def pack(keys: np.ndarray, ids: np.ndarray, buckets: int, again: bool = False, check: np.ndarray | None = None, short: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA.
 
-def pack(keys: np.ndarray, ids: np.ndarray, bits: int, again: bool = False) -> Iterator[pa.RecordBatch]:
-    """Rows of SCHEMA. again: a key that one id has twice also counts as shared."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+    again: a key that one id has twice also counts as shared.  check: a second
+    hash, in which keys must agree as well.  short: six bytes of a key are
+    kept, enough to make chance agreements rare within a bucket; for keys that
+    only propose candidates.
+    """
+    more = () if check is None else (check,)
+    order = np.lexsort((ids, *more, keys))
+    keys, ids, more = keys[order], ids[order], tuple(c[order] for c in more)
+    new = ~_same(keys, *more, ids)
     twice = np.zeros(len(keys), bool)
     if again:
         twice[:-1] = ~new[1:]  # a first row whose next one repeats it
         twice = twice[new]
-    keys, ids = keys[new], ids[new]
-    lead = np.ones(len(keys), bool)
-    lead[1:] = keys[1:] != keys[:-1]
+    keys, ids, more = keys[new], ids[new], tuple(c[new] for c in more)
+    lead = ~_same(keys, *more)
     several = ~lead
     several[:-1] |= several[1:]
     if again:
         several |= twice
     rows = []
     for local, pick in ((False, lead), (True, several)):
-        k, i = keys[pick], ids[pick]
-        edge = np.searchsorted(k, np.arange(1 << bits).astype(np.uint64) << np.uint64(64 - bits))
-        for b, (x, y) in enumerate(zip(edge.tolist(), [*edge[1:].tolist(), len(k)])):
-            if y > x:
-                table, which = np.unique(i[x:y], return_inverse=True)
-                small = len(table) <= 1 << 16
-                rows.append((b, local, k[x:y].tobytes(), table.tobytes(), which.astype(np.uint16 if small else np.uint32).tobytes()))
+        k, i, c = keys[pick], ids[pick], tuple(x[pick] for x in more)
+        bucket = ((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        edge = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(k)] if len(k) else [0]
+        for x, y in zip(edge[:-1], edge[1:]):
+            table, which = np.unique(i[x:y], return_inverse=True)
+            kept = np.ascontiguousarray(k[x:y].view(np.uint8).reshape(-1, 8)[:, :6]) if short else k[x:y]
+            rows.append((int(bucket[x]), local, short, kept.tobytes(), c[0][x:y].tobytes() if c else None, table.tobytes(), which.astype(np.uint16 if len(table) <= 1 << 16 else np.uint32).tobytes()))
     if rows:
-        columns = zip(*rows)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()))], names=SCHEMA.names)
+        types = (pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=SCHEMA.names)
+
+
+def _long(bucket: int, kept: bytes) -> np.ndarray:
+    """Keys of six bytes as 64-bit keys that differ between buckets."""
+    whole = np.zeros((len(kept) // 6, 8), np.uint8)
+    whole[:, :6] = np.frombuffer(kept, np.uint8).reshape(-1, 6)
+    return whole.view(np.uint64)[:, 0] ^ mix(np.array([bucket], np.uint64))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,29 +89,27 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(k[at : at + (1 << 17)].view(np.int64)), pa.array(i[at : at + (1 << 17)].view(np.int64))], names=["key", "id"])
 
     def flush():
-        k, i = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((i, k))
-        k, i = k[order], i[order]
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1])
-        k, i = k[new], i[new]
-        same = np.zeros(len(k), bool)
-        same[1:] = k[1:] == k[:-1]
+        k, c, i = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((i, c, k))
+        k, c, i = k[order], c[order], i[order]
+        new = ~_same(k, c, i)
+        k, c, i = k[new], c[new], i[new]
+        same = _same(k, c)
         same[:-1] |= same[1:]
         yield from out(k[same], i[same])
 
     for batch in batches:
-        for b, local, k, table, which in zip(*(c.to_pylist() for c in batch.columns)):
+        for b, local, short, k, check, table, which in zip(*(c.to_pylist() for c in batch.columns)):
             if b != bucket:
                 if parts:
                     yield from flush()
                 bucket, parts = b, []
-            k, table = np.frombuffer(k, np.uint64), np.frombuffer(table, np.uint64)
+            k, table = _long(b, k) if short else np.frombuffer(k, np.uint64), np.frombuffer(table, np.uint64)
             i = table[np.frombuffer(which, np.uint16 if len(which) == 2 * len(k) else np.uint32)]
             if local:
                 yield from out(k, i)
             else:
-                parts.append((k, i))
+                parts.append((k, np.zeros(len(k), np.uint64) if check is None else np.frombuffer(check, np.uint64), i))
     if parts:
         yield from flush()
 
@@ -100,4 +120,4 @@ def shared(rows: DataFrame) -> DataFrame:
     A key's ids may come more than once.
     """
     width = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "key long, id long")
+    return rows.repartitionById(width, F.col("bucket") % width).sortWithinPartitions("bucket").mapInArrow(_shared, "key long, id long")

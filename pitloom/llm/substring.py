@@ -5,7 +5,7 @@ run of a quarter of that length (a minimizer): equal windows have equal ones,
 and some one in ten of the runs is such.  Runs that occur once are dropped;
 the rest are extended to twice the length, to the right and to the left, and
 counted again; windows that hold a run still repeated, and only they, are
-hashed at the full length.  A level without repeats ends the work.  Equal
+hashed at the full length, by 128 bits in two independent halves.  A level without repeats ends the work.  Equal
 texts count once, with their number of copies.
 """
 
@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed, words
-from .session import checkpointed
+from .session import checkpointed, forget
 
 _RIGHT, _LEFT = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 
 
-def _hashes(buf: np.ndarray, offsets: np.ndarray):
+def _hashes(buf: np.ndarray, offsets: np.ndarray, lane: int = 0):
     starts, ends, first = words.spans(buf, offsets)
-    return words.span_hashes(buf, starts, ends), first
+    return words.span_hashes(buf, starts, ends, lane), first
 
 
 def _anchors(hashes: np.ndarray, first: np.ndarray, length: int, run: int):
@@ -86,7 +86,7 @@ def _seen(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) if x else np.zeros(0, np.uint64) for x in batch.column(column).to_pylist()]
 
 
-def _level_one(length: int, run: int, bits: int):
+def _level_one(length: int, run: int, buckets: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -94,12 +94,12 @@ def _level_one(length: int, run: int, bits: int):
                 hashes, first = _hashes(buf, offsets)
                 starts, anchor, by_start = _anchors(hashes, first, length, run)
                 at = np.unique(anchor)
-                yield from packed.pack(by_start[at], ids[lo:hi][np.searchsorted(first, at, "right") - 1], bits, again=True)
+                yield from packed.pack(by_start[at], ids[lo:hi][np.searchsorted(first, at, "right") - 1], buckets, again=True)
 
     return work
 
 
-def _level_two(length: int, run: int, bits: int):
+def _level_two(length: int, run: int, buckets: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keep = batch.column("k1").to_numpy(zero_copy_only=False).view(np.uint64), _seen(batch, "seen")
@@ -112,7 +112,7 @@ def _level_two(length: int, run: int, bits: int):
                 owner = ids[lo:hi][np.searchsorted(first, at, "right") - 1]
                 right, left = _extended(hashes, first, at, run)
                 keys, who = np.concatenate([right, left]), np.concatenate([owner, owner])
-                yield from packed.pack(keys[keys != 0], who[keys != 0], bits, again=True)
+                yield from packed.pack(keys[keys != 0], who[keys != 0], buckets, again=True)
 
     return work
 
@@ -128,7 +128,7 @@ def _candidates(hashes, first, keep, length, run):
     return starts[ok]
 
 
-def _level_three(length: int, run: int, bits: int):
+def _level_three(length: int, run: int, buckets: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keep = batch.column("k1").to_numpy(zero_copy_only=False).view(np.uint64), _seen(batch, "wide")
@@ -136,7 +136,9 @@ def _level_three(length: int, run: int, bits: int):
                 hashes, first = _hashes(buf, offsets)
                 at = _candidates(hashes, first, keep[lo:hi], length, run)
                 where, h = words.windows(hashes, first, length)
-                yield from packed.pack(h[np.searchsorted(where, at)], ids[lo:hi][np.searchsorted(first, at, "right") - 1], bits, again=True)
+                _, check = words.windows(_hashes(buf, offsets, 1)[0], first, length)
+                pick = np.searchsorted(where, at)
+                yield from packed.pack(h[pick], ids[lo:hi][np.searchsorted(first, at, "right") - 1], buckets, again=True, check=check[pick])
 
     return work
 
@@ -193,8 +195,8 @@ def _by_text(rows: DataFrame, name: str) -> DataFrame:
     return dealt.mapInArrow(work, f"k1 long, {name} binary")
 
 
-def _keys() -> list[F.Column]:
-    return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), F.col("text")).alias("k2")]
+def _keys(seed: int) -> list[F.Column]:
+    return [F.xxhash64(F.lit(seed), F.col("text")).alias("k1"), F.xxhash64(F.lit("second"), F.col("text")).alias("k2")]
 
 
 def repeated_windows_removed(docs: DataFrame, length: int = 35, with_text: bool = False) -> DataFrame:
@@ -209,22 +211,29 @@ def repeated_windows_removed(docs: DataFrame, length: int = 35, with_text: bool
     run = max(1, (length + 1) // 4)
     docs = docs.select("doc_id", "text")
     # equal texts are one text with a number of copies
-    light = checkpointed(docs.select("doc_id", *_keys(), "text").mapInArrow(_whole, "doc_id long, k1 long, k2 long, n_words long, whole_sha256 string"))
+    seed = 0
+    while True:
+        light = checkpointed(docs.select("doc_id", *_keys(seed), "text").mapInArrow(_whole, "doc_id long, k1 long, k2 long, n_words long, whole_sha256 string"))
+        # two texts under one k1: take another hash
+        if light.groupBy("k1").agg((F.min("k2") != F.max("k2")).alias("x")).where("x").isEmpty():
+            break
+        seed += 1
     copies = light.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"))
     total = light.agg(F.sum("n_words")).first()[0] or 0
-    bits = packed.bits_for(total / 8)
-    texts = docs.where("text is not null").select(*_keys(), "text")
-    one = packed.shared(texts.select("k1", "text").mapInArrow(_level_one(length, run, bits), packed.SCHEMA)).distinct()
+    buckets = packed.buckets_for(docs.sparkSession, total / 8)
+    texts = docs.where("text is not null").select(*_keys(seed), "text")
+    one = packed.shared(texts.select("k1", "text").mapInArrow(_level_one(length, run, buckets), packed.SCHEMA)).distinct()
     seen = _by_text(one, "seen").join(copies.select("k1", "k2"), "k1")
     # text of a repeated run's texts, once for each
     first = texts.groupBy("k1", "k2").agg(F.min("text").alias("text")).join(seen, ["k1", "k2"])
     held = checkpointed(first)
-    two = packed.shared(held.mapInArrow(_level_two(length, run, bits), packed.SCHEMA)).distinct()
+    two = packed.shared(held.mapInArrow(_level_two(length, run, buckets), packed.SCHEMA)).distinct()
     wide = held.drop("seen").join(_by_text(two, "wide"), "k1")
-    three = packed.shared(wide.mapInArrow(_level_three(length, run, packed.bits_for(total / 4)), packed.SCHEMA))
+    three = packed.shared(wide.mapInArrow(_level_three(length, run, packed.buckets_for(docs.sparkSession, total / 4)), packed.SCHEMA))
     found = _by_text(three, "found")
     cut = held.drop("seen").join(found, "k1").mapInArrow(_cut(length), "k1 long, k2 long, n_removed long, kept string")
     cut = checkpointed(cut.select("k1", "k2", "n_removed", F.sha2("kept", 256).alias("sha"), *(["kept"] if with_text else [])))
+    forget(held)
     # a text with copies repeats every window of its own
     gone = (F.col("copies") > 1) & (F.col("n_words") >= length)
     answer = copies.join(cut, ["k1", "k2"], "left").select(

@@ -7,6 +7,7 @@ nothing is decoded.  Hashes are 64-bit and the same in every process.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,8 @@ import pyarrow as pa
 
 #: Texts are handled together up to this many bytes; a longer text is handled alone.
 CHUNK_BYTES = 2 << 20
-#: Byte hashes are summed over slabs of this many bytes.
-SLAB_BYTES = 1 << 19
+#: Longer spans are hashed one by one.
+LONG_BYTES = 2048
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -33,20 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_ODD = 0xD6E8FEB86659FD93
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int, base: int = _ODD) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, SLAB_BYTES + 1)
-        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        have = _powers[base] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return have
+_STEP, _NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def texts(column: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -79,33 +67,48 @@ def spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each span; spans are in order and don't overlap."""
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        end = max(at + 1, int(np.searchsorted(ends, starts[at] + SLAB_BYTES, "right")))
-        lo, hi = int(starts[at]), int(ends[end - 1])
-        up, down = powers(hi - lo)
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE[buf[lo:hi]] * up[: hi - lo], out=total[1:])
-        s, e = starts[at:end] - lo, ends[at:end] - lo
-        out[at:end] = (total[e] - total[s]) * down[np.minimum(s, hi - lo - 1)] if hi > lo else 0
-        at = end
-    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def windows(hashes: np.ndarray, first: np.ndarray, length: int, base: int = 0x9FB21C651E98DF25) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the windows of so many words inside one text, and their hashes."""
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A hash of the bytes of each span, eight bytes mixed in at a time; lanes are independent of each other."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _STEP + np.uint64(lane) * _NEXT + np.uint64(1))
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded.data, 0, (1,))  # the eight bytes from each place on
+    left, at = np.flatnonzero((size > 0) & (size <= LONG_BYTES)), 0
+    while len(left):
+        part, rest = eight[starts[left] + at], size[left] - at
+        short = rest < 8
+        part[short] &= (np.uint64(1) << (rest[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[left] = mix((out[left] ^ part) * _STEP)
+        at += 8
+        left = left[rest > 8]
+    for i in np.flatnonzero(size > LONG_BYTES).tolist():
+        digest = hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8, key=bytes([lane])).digest()
+        out[i] ^= np.frombuffer(digest, np.uint64)[0]
+    return out
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two parts in this order; not linear in either, so no pattern of repeated words cancels out."""
+    return (a ^ (a >> np.uint64(29))) * _STEP + (b ^ (b >> np.uint64(32))) * _NEXT
+
+
+def windows(hashes: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows of so many words inside one text, and their hashes, joined from blocks of 1, 2, 4, ... words."""
     n = len(hashes)
     if n < length:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     last = np.repeat(first[1:], np.diff(first))
     at = np.flatnonzero(np.arange(length, n + length) <= last)
-    up, down = powers(n + 1, base)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * up[:n], out=total[1:])
-    return at, mix((total[at + length] - total[at]) * down[at] + np.uint64(length))
+    block, size, total, done = hashes, 1, None, 0
+    while True:
+        if length & size:
+            total = block if total is None else _joined(total[: len(block) - done], block[done:])
+            done += size
+        if done == length:
+            return at, mix(total[at] + np.uint64(length))
+        block = _joined(block[:-size], block[size:])
+        size *= 2
 
 
 def covered(at: np.ndarray, length: int, n: int) -> np.ndarray:

@@ -57,12 +57,51 @@ def test_spans_and_hashes_follow_words():
     assert h[0] == h[1] and len(set(h.tolist())) == 3
 
 
-def test_words_at_slab_edges(monkeypatch):
-    monkeypatch.setattr(words, "SLAB_BYTES", 7)
-    data = b"aaaa bbbbbbbbbbbb aaaa cc aaaa"
-    starts, ends, _ = words.spans(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-    h = words.span_hashes(np.frombuffer(data, np.uint8), starts, ends)
-    assert h[0] == h[2] == h[4] and len(set(h.tolist())) == 3
+def test_words_of_many_lengths():
+    rng = np.random.default_rng(1)
+    spelled = [bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in [*range(1, 40), 2040, 2047, 2048, 2049, 5000] for _ in range(3)]
+    data = b" ".join([*spelled, *spelled])
+    buf = np.frombuffer(data, np.uint8)
+    starts, ends, _ = words.spans(buf, np.array([0, len(data)]))
+    for lane in (0, 1):
+        h = words.span_hashes(buf, starts, ends, lane)
+        half = len(spelled)
+        assert h[:half].tolist() == h[half:].tolist() and len(set(h.tolist())) == len(set(spelled))
+    assert len(words.span_hashes(buf[:0], starts[:0], ends[:0])) == 0
+
+
+def thue_morse(n, a, b):
+    """Two sequences that sums of powers of an odd base modulo 2**64 cannot tell apart if they are long."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return [(a, b)[i] for i in bits], [(b, a)[i] for i in bits]
+
+
+def test_regular_patterns_do_not_collide(spark):
+    one, two = ("".join(x) for x in thue_morse(1024, "a", "b"))
+    filler = [" ".join(f"{c}{i}" for i in range(40)) for c in "pq"]
+    rows = [(0, f"{filler[0]} {one} {filler[0]}x"), (1, f"{filler[1]} {two} {filler[1]}x"), (2, one), (3, two), (4, f"{one}\n{two}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs, 3, 90).collect()} == {i: i for i in range(5)}
+    assert {r.doc_id: r.n_dup_lines for r in quality.text_stats(docs, "text", ["doc_id"]).collect()} == {i: 0 for i in range(5)}
+    left, right = (" ".join(x) for x in thue_morse(64, "ab", "cd"))
+    pair = spark.createDataFrame([(0, left), (1, right)], "doc_id long, text string")
+    seen = collections.Counter(tuple(t.split(" ")[i : i + 35]) for t in (left, right) for i in range(30))
+    want = {k: len({j for i in range(30) if seen[tuple(t.split(" ")[i : i + 35])] > 1 for j in range(i, i + 35)}) for k, t in enumerate((left, right))}
+    assert {r.doc_id: r.n_removed for r in substring.repeated_windows_removed(pair, 35).collect()} == want
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    for r in packing.pack(docs, queries.tokenizer_path()).groupBy("doc_id").agg({"length": "sum"}).collect():
+        assert r[1] == len(tokenizer.encode(rows[r.doc_id][1], add_special_tokens=False).ids) + 1
+
+
+def test_one_of_each(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a, "u", 7), (5, a, "v", 7), (5, b, "w", 8), (6, a + " new", "x", 9), (None, c, "y", 1), (None, c, "y", 1), (7, "", "z", 2), (7, "", "z", 2), (8, None, "z", 3), (2, "  " + b, "t", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _same string, _drop int")
+    got = collections.Counter(map(tuple, jaccard.one_of_each(docs).collect()))
+    assert got == collections.Counter([rows[0], rows[9], rows[4], rows[6], rows[7], rows[8]])
+    assert jaccard.one_of_each(docs.limit(0)).columns == docs.columns and jaccard.one_of_each(docs.limit(0)).count() == 0
 
 
 def brute_stats(text):
