@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,13 +42,34 @@ def problems(value: object, schema: dict, at: str = "$") -> list[str]:
 
 
 def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """Sorted keys, no spaces; half surrogate pairs, which UTF-8 can't hold, stay escaped."""
+    out = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return out if out.isprintable() or not _HALF.search(out) else _HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", out)
+
+
+_HALF = re.compile("[\ud800-\udfff]")
 
 
 def _no_constant(x: str):
     raise ValueError(x)
 
 
+def _finite(x: str) -> float:
+    if math.isinf(value := float(x)):
+        raise ValueError(x)
+    return value
+
+
+def parsed(arguments: str | None) -> object:
+    """The value of JSON that canonical can write again; ValueError for anything else, infinite numbers and nesting too deep included."""
+    try:
+        value = json.loads(arguments or "", parse_constant=_no_constant, parse_float=_finite)
+        canonical(value)
+        return value
+    except RecursionError as e:
+        raise ValueError("nested too deep") from e
+
+
 def _written(schemas: dict[str, dict]):
     names = ["conv_id", "turn", "kind", "call_id", "status", "step", "errors", "json"]
 
@@ -56,16 +79,16 @@ def _written(schemas: dict[str, dict]):
             for r in batch.to_pylist():
                 errors, kind = [], r["kind"]
                 if kind == "call":
-                    value, parsed = None, False
+                    value, good = None, False
                     try:
-                        value, parsed = json.loads(r["arguments"] or "", parse_constant=_no_constant), True
+                        value, good = parsed(r["arguments"]), True
                     except ValueError:
                         errors.append("$: not JSON")
                     if r["name"] not in schemas:
                         errors.append("unknown tool")
-                    elif parsed:
+                    elif good:
                         errors += problems(value, schemas[r["name"]])
-                    body = {"role": "assistant", "tool_call": {"id": r["call_id"], "name": r["name"], "arguments": value if parsed else r["arguments"]}}
+                    body = {"role": "assistant", "tool_call": {"id": r["call_id"], "name": r["name"], "arguments": value if good else r["arguments"]}}
                 elif kind == "result":
                     body = {"role": "tool", "tool_call_id": r["call_id"], "content": r["content"]}
                 else:
@@ -143,7 +166,8 @@ def link_tool_calls(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     a message.  Ordered by step, a conversation's calls follow what they wait
     for and results follow their calls; dependencies on unknown ids are
     dropped.  json has sorted keys and no spaces.  Calls and results without
-    an id, or a conv_id, link with nothing.  Repeated rows count as
+    an id, or a conv_id, link with nothing.  Arguments that are no JSON, hold an
+    infinite number or nest too deep are reported and written as text.  Repeated rows count as
     duplicates of each other, but each is returned.
     """
     columns = ["conv_id", "turn", "kind", "role", "call_id", "name", "arguments", "depends_on", "content"]

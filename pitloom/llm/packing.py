@@ -69,7 +69,7 @@ def windows_for(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 class Tokens:
-    """Ids of whole texts; words, cut at ASCII white space, are encoded once and then looked up by hash."""
+    """Ids of whole texts; words, cut at ASCII white space, are encoded once and then looked up by hash, checked by a second one."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -79,6 +79,7 @@ class Tokens:
 
     def _forget(self) -> None:
         self.hashes, self.rank = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted; the word's place below
+        self.check = np.zeros(0, np.uint64)  # a second hash, by place
         self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,12 +88,13 @@ class Tokens:
         at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
         return self.hashes[at] == wanted, self.rank[at]
 
-    def _learn(self, hashes: np.ndarray, spelled: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, check: np.ndarray, spelled: list[str]) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(spelled, add_special_tokens=False)]
         size = np.array([len(x) for x in ids], np.int64)
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
         self.begin = np.append(self.begin, len(self.flat) + np.cumsum(size) - size)
         self.size, self.flat = np.append(self.size, size), np.append(self.flat, flat)
+        self.check = np.append(self.check, check)
         hashes = np.append(self.hashes, hashes)
         rank = np.append(self.rank, np.arange(len(self.size) - len(size), len(self.size)))
         order = np.argsort(hashes, kind="stable")
@@ -104,22 +106,33 @@ class Tokens:
         code, found = pd.factorize(words.span_hashes(buf, starts, ends))
         if not len(code):
             return np.zeros(0, np.uint32), np.zeros(len(first), np.int64)
+        check = words.span_hashes(buf, starts, ends, 1)
+        example = np.empty(len(found), np.int64)
+        example[code[::-1]] = np.arange(len(code))[::-1]
         known, place = self._find(found)
         if len(self.hashes) + int((~known).sum()) > MEMORY_WORDS:
             self._forget()
             known[:] = False
         if not known.all():
-            example = np.empty(len(found), np.int64)
-            example[code[::-1]] = np.arange(len(code))[::-1]
             pick, data = example[~known], buf.tobytes()
-            self._learn(found[~known], [data[s:e].decode() for s, e in zip(starts[pick].tolist(), ends[pick].tolist())])
+            self._learn(found[~known], check[pick], [data[s:e].decode() for s, e in zip(starts[pick].tolist(), ends[pick].tolist())])
             known, place = self._find(found)
-        count, begin = self.size[place][code], self.begin[place][code]
+        place = place[code]
+        if not (self.check[place] == check).all():  # two words under one hash
+            return self._one_by_one(buf, starts, ends, first)
+        count, begin = self.size[place], self.begin[place]
         ahead = np.zeros(len(code) + 1, np.int64)
         np.cumsum(count, out=ahead[1:])
         pick = np.arange(ahead[-1]) + np.repeat(begin - ahead[:-1], count)
         return self.flat[pick], ahead[first]
 
+    def _one_by_one(self, buf, starts, ends, first) -> tuple[np.ndarray, np.ndarray]:
+        data = buf.tobytes()
+        spelled = [data[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist())]
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(spelled, add_special_tokens=False)]
+        ahead = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+        return np.concatenate(ids), ahead[first]
+
 
 @functools.lru_cache(2)
 def tokens_of(path: str) -> Tokens:

@@ -13,8 +13,8 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,16 +36,18 @@ def _key(host: str) -> F.Column:
 
 
 def _sweep(default: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Verdicts of the sorted rows; urls of one key and path share a look at the stack."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, stack, last, answer = None, [], None, (None, default)
-        for pdf in batches:
-            out = []
-            for p, key, is_url, path, rule, verdict, page, host in pdf.itertuples(index=False, name=None):
+        for batch in batches:
+            where, rules_, verdicts = [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("part", "key", "is_url", "path", "rule", "verdict"))
+            for at, (p, key, is_url, path, rule, verdict) in enumerate(zip(*columns)):
                 if p != part:
                     part, stack, last = p, [], None
-                while stack and not key.startswith(stack[-1][0]):
-                    stack.pop()
-                    last = None
+                if not is_url or last != (key, path):
+                    while stack and not key.startswith(stack[-1][0]):
+                        stack.pop()
                 if not is_url:
                     if not stack or stack[-1][0] != key:
                         stack.append((key, {}))
@@ -64,19 +66,24 @@ def _sweep(default: str):
                         for x in fit:
                             if len(rules[x][0]) > best:
                                 best, answer = len(rules[x][0]), rules[x]
-                out.append((page, host, path, *answer))
-            yield pd.DataFrame(out, columns=["page_id", "host", "path", "rule", "verdict"])
+                where.append(at)
+                rules_.append(answer[0])
+                verdicts.append(answer[1])
+            urls = batch.take(pa.array(where, pa.int64()))
+            page = pc.if_else(urls.column("has_id"), urls.column("page_id"), pa.scalar(None, pa.int64()))
+            yield pa.RecordBatch.from_arrays([page, urls.column("host"), urls.column("path"), pa.array(rules_, pa.string()), pa.array(verdicts, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
     return run
 
 
-def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow", rows_per_partition: int = 200_000) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of pages (page_id, url).
 
     rules has (host, path, verdict), hosts in lower case.  A rule fits its host
     and all subdomains if the url's path starts with the rule's; the longest
     rule wins, then the one for the longer host, then a block.  A url without
-    `://`, or null, has an empty host, which no rule fits.
+    `://`, or null, has an empty host, which no rule fits.  Null page_ids stay
+    null, repeated rows are judged alike; without rules all urls get default.
     """
     spark = pages.sparkSession
     host, path = host_and_path("url")
@@ -99,7 +106,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow", row
     keyed = rules.where("host <> ''").select(_key("host").alias("key"), "path", F.concat("host", "path").alias("rule"), "verdict")
     placed = keyed.mapInArrow(meets, "key string, path string, rule string, verdict string, parts array<int>")
     no = F.lit(None)
-    both = placed.select(F.explode("parts").alias("part"), "key", F.lit(False).alias("is_url"), "path", "rule", "verdict", no.cast("long").alias("page_id"), no.cast("string").alias("host"))
-    both = both.unionByName(urls.select("part", "key", F.lit(True).alias("is_url"), "path", no.cast("string").alias("rule"), no.cast("string").alias("verdict"), F.col("page_id").cast("long").alias("page_id"), "host"))
-    swept = both.repartition(width, "part").sortWithinPartitions("part", "key", "is_url", "path")
-    return swept.mapInPandas(_sweep(default), "page_id long, host string, path string, rule string, verdict string")
+    both = placed.select(F.explode("parts").alias("part"), "key", F.lit(False).alias("is_url"), "path", "rule", "verdict", F.lit(False).alias("has_id"), F.lit(0).cast("long").alias("page_id"), no.cast("string").alias("host"))
+    both = both.unionByName(urls.select("part", "key", F.lit(True).alias("is_url"), "path", no.cast("string").alias("rule"), no.cast("string").alias("verdict"), F.col("page_id").isNotNull().alias("has_id"), F.coalesce(F.col("page_id").cast("long"), F.lit(0).cast("long")).alias("page_id"), "host"))
+    swept = both.repartitionById(width, F.col("part") % width).sortWithinPartitions("part", "key", "is_url", "path")
+    return swept.mapInArrow(_sweep(default), "page_id long, host string, path string, rule string, verdict string")

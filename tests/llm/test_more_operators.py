@@ -106,6 +106,16 @@ def test_tool_calls(spark):
     assert chat.link_tool_calls(events.limit(0), schemas).count() == 0
 
 
+def test_hostile_arguments(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    given = ['{"a":1e999}', '{"a":"\\ud800"}', deep, '{"a":NaN}', '{"b":1,"a":"\\ud83d\\ude00"}', "", None]
+    rows = [(1, i, "call", "assistant", str(i), "t", x, None, None) for i, x in enumerate(given)]
+    events = spark.createDataFrame(rows, "conv_id long, turn long, kind string, role string, call_id string, name string, arguments string, depends_on array<string>, content string")
+    got = {r.turn: r for r in chat.link_tool_calls(events, {"t": {"type": "object"}}).collect()}
+    assert {i: bool(r.errors) for i, r in got.items()} == {0: True, 1: False, 2: True, 3: True, 4: False, 5: True, 6: True}
+    assert '"arguments":{"a":"\\ud800"}' in got[1].json and '"arguments":{"a":"😀","b":1}' in got[4].json
+
+
 def test_conversations_as_calls(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "hi "), (1, 2, "assistant", "yo"), (1, 3, "user", None), (1, 4, None, None), (None, 1, "user", "x"), (1, 1, "user", "hi "), (3, 0, "assistant", "")]
     conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

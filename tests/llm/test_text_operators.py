@@ -333,6 +333,9 @@ def test_urls(spark):
     got = urls.url_verdicts(pages, frame).collect()
     assert sorted((str(r.page_id), r.host, r.path, str(r.rule), r.verdict) for r in got) == want
     assert urls.url_verdicts(pages.limit(0), frame).count() == 0
+    large = [9007199254740993, 9007199254740995, 2**63 - 1]
+    ids = spark.createDataFrame([(i, f"http://example.net/{'a' * 70_000}") for i in large], "page_id long, url string")
+    assert sorted((r.page_id, r.rule) for r in urls.url_verdicts(ids, frame).collect()) == [(i, "net/") for i in large]
     assert urls.url_verdicts(pages, frame.limit(0)).where("rule is null").count() == len(want)
 
 
