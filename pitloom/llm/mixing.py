@@ -93,7 +93,7 @@ def mix_plan(docs: DataFrame, max_epochs: int = 3, seed: str = "mix") -> DataFra
 
 
 def mixed(docs: DataFrame, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
-    """The mix itself: rows of docs, each as often as it is taken; a last part is the text's first words, joined by one space.
+    """The mix itself: rows of docs, each as often as it is taken; a last part is the text's beginning, with so many words.
 
     Rows with no words are not taken.  Repeated rows of one doc_id, source and
     size share their parts in turn.
@@ -106,7 +106,7 @@ def mixed(docs: DataFrame, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
     rows = sized(packed).where("_size > 0")
     rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
     part = F.least(F.col("_size"), F.ceil(F.col("_parts") / F.col("_same"))).cast("int")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, part), " ")
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, part), "")
     whole = F.array_repeat(F.col("text"), F.col("_whole").cast("int"))
     last = F.when(part <= 0, F.array().cast("array<string>")).when(part >= F.col("_size"), F.array("text")).otherwise(F.array(cut))
     out = rows.select("_row", F.explode(F.concat(whole, last)).alias("_text"))

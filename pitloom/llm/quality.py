@@ -1,7 +1,7 @@
 """Quality rules whose cutoffs hold the share of good texts they reject below a limit.
 
 Every rule scores a text; a high score is bad.  For each stratum the rules are
-tightened in turn, one notch of a fixed grid at a time, from the mildest
+tightened in turn, one notch of a fixed fine grid at a time, from the mildest
 cutoffs on.  After each notch all rules so far are judged together against the
 labelled texts that are good: it passes if an exact binomial test refutes, at
 the corrected level, that together they reject more than the limit; the first
@@ -35,18 +35,27 @@ _UPPER[65:91] = True
 _MARK = np.zeros(256, bool)
 _MARK[list(b"!?")] = True
 
+#: Notches of each rule's grid.
+NOTCHES = 20
+
+
+def _grid(mild: float, strict: float) -> list[float]:
+    """Cutoffs in equal ratios; the strict end is so strict that no corpus passes it, so the test ends the walk, not the grid."""
+    return [round(mild * (strict / mild) ** (i / (NOTCHES - 1)), 6) for i in range(NOTCHES)]
+
+
 #: Score and grid of cutoffs, mildest first, of each rule.
 RULES: dict[str, tuple[str, list[float]]] = {
-    "symbols": ("n_symbols / greatest(word_chars, 1)", [0.3, 0.2, 0.15, 0.1, 0.07, 0.05]),
-    "duplicate_lines": ("n_dup_lines / greatest(n_lines, 1)", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4]),
-    "repeated_words": ("n_repeat_words / greatest(n_words, 1)", [0.8, 0.6, 0.5, 0.4, 0.3, 0.25]),
-    "capitals": ("n_upper / greatest(word_chars, 1)", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4]),
-    "marks": ("n_marks / greatest(n_words, 1)", [4.0, 3.0, 2.0, 1.5, 1.0, 0.75]),
-    "long_words": ("word_chars / greatest(n_words, 1)", [40.0, 30.0, 25.0, 20.0, 16.0, 14.0]),
+    "symbols": ("n_symbols / greatest(word_chars, 1)", _grid(0.5, 0.002)),
+    "long_words": ("word_chars / greatest(n_words, 1)", _grid(40.0, 4.0)),
+    "marks": ("n_marks / greatest(n_words, 1)", _grid(4.0, 0.02)),
+    "duplicate_lines": ("n_dup_lines / greatest(n_lines, 1)", _grid(0.9, 0.02)),
+    "repeated_words": ("n_repeat_words / greatest(n_words, 1)", _grid(0.8, 0.01)),
+    "capitals": ("n_upper / greatest(word_chars, 1)", _grid(0.9, 0.01)),
 }
 
 #: The walk: (rule, cutoff) in the order in which the rules are tightened.
-STEPS = [(rule, grid[i]) for i in range(max(len(grid) for _, grid in RULES.values())) for rule, (_, grid) in RULES.items() if i < len(grid)]
+STEPS = [(rule, grid[i]) for i in range(NOTCHES) for rule, (_, grid) in RULES.items()]
 
 
 def _group(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -129,32 +138,29 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "lang", limi
     stats has doc_id, the stratum and STATS; labels has doc_id and quality.  A
     document with several labels counts as good if one of them says so, which
     can only make the cutoffs milder.  Texts that fail the base rule are not
-    counted.  All labelled rows are used; what reaches the driver is a few
-    counts for each stratum.  A stratum with too few labels to refute anything
+    counted.  All labelled rows are used; counts of each
+    stratum and notch are all that is left to walk over.  A stratum with too few labels to refute anything
     (with four strata, under 144 good texts) gets no cutoff.
     """
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("_quality")).where("_quality = 1").select("doc_id")
     held = stats.where(~base_failed()).join(good, "doc_id", "left_semi")
-    first = F.least(*(F.coalesce(*(F.when(F.expr(f"{RULES[r][0]} > {cut}D"), F.lit(i)) for i, (r, cut) in enumerate(STEPS) if r == rule)) for rule in RULES))
-    counts = [F.count(F.when(F.col("_first") <= i, 1)).alias(f"over_{i}") for i in range(len(STEPS))]
-    table = checkpointed(held.withColumn("_first", first).groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *counts))
-    level = (1 - confidence) / max(1, table.count())
+    first = F.least(*(F.coalesce(*(F.when(F.expr(f"{RULES[r][0]} > {cut}D"), F.lit(i)) for i, (r, cut) in enumerate(STEPS) if r == rule), F.lit(len(STEPS))) for rule in RULES))
+    table = checkpointed(held.groupBy(F.col(stratum).alias("stratum"), first.alias("first")).agg(F.count(F.lit(1)).alias("n")))
+    level = (1 - confidence) / max(1, table.select("stratum").distinct().count())
 
-    def walk(batches):
+    def walk(pdf):
         import pandas as pd
 
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                passed = {}
-                for i, (rule, cut) in enumerate(STEPS):
-                    if _binomial_at_most(int(row[f"over_{i}"]), int(row["n"]), limit) > level:
-                        break
-                    passed[rule] = cut
-                out += [(row["stratum"], rule, cut) for rule, cut in passed.items()]
-            yield pd.DataFrame(out, columns=["stratum", "rule", "cutoff"])
-
-    return table.mapInPandas(walk, "stratum string, rule string, cutoff double")
+        total, fired, passed = int(pdf["n"].sum()), dict(zip(pdf["first"], pdf["n"])), {}
+        over = 0
+        for i, (rule, cut) in enumerate(STEPS):
+            over += int(fired.get(i, 0))  # rejected by the steps so far, together
+            if _binomial_at_most(over, total, limit) > level:
+                break
+            passed[rule] = cut
+        return pd.DataFrame([(pdf["stratum"].iloc[0], *x) for x in passed.items()], columns=["stratum", "rule", "cutoff"])
+
+    return table.groupBy("stratum").applyInPandas(walk, "stratum string, rule string, cutoff double")  # a row for each notch at most
 
 
 def judge(stats: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:

@@ -239,6 +239,15 @@ def test_lines(spark, k):
     assert sorted((str(r.doc_id), str(r.text), r._n_removed) for r in out.collect()) == sorted(expect)
 
 
+def test_runs_have_their_whole_length(spark):
+    long = [f"line {i}" for i in range(11)]
+    rows = [(0, "\n".join(long)), (1, "\n".join(["x", *long[2:9], "", "y"])), (2, "\n".join([long[1], long[5], "z", *["same"] * 6])), (3, "\n".join(["x", "y"])), (4, None), (5, "\n \n"), (6, "word " * 30_000 + "\nz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r._n_lines, r._n_removed, r._runs) for r in lines.without_repeated_runs(docs).collect()}
+    assert got == {0: (11, 0, []), 1: (9, 7, [7]), 2: (9, 7, [1, 1, 5]), 3: (2, 2, [1, 1]), 4: (0, 0, []), 5: (0, 0, []), 6: (2, 1, [1])}
+    assert lines.without_repeated_runs(docs.limit(0)).count() == 0
+
+
 def test_single_repeated_lines_go(spark, tmp_path):
     import corpus_pipeline
 
