@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .words import mix
 
 #: Keys that one task sorts at a time, about.
-BUCKET_KEYS = 1_000_000
+BUCKET_KEYS = 500_000
 
 SCHEMA = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("local", T.BooleanType()), T.StructField("short", T.BooleanType()), *(T.StructField(c, T.BinaryType()) for c in ("keys", "check", "ids", "which"))])
 
@@ -89,12 +89,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(k[at : at + (1 << 17)].view(np.int64)), pa.array(i[at : at + (1 << 17)].view(np.int64))], names=["key", "id"])
 
     def flush():
-        k, c, i = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((i, c, k))
-        k, c, i = k[order], c[order], i[order]
-        new = ~_same(k, c, i)
-        k, c, i = k[new], c[new], i[new]
-        same = _same(k, c)
+        columns = [np.concatenate(x) for x in zip(*parts)]  # keys, second hashes if there are any, ids
+        parts.clear()
+        order = np.lexsort(columns[::-1])
+        columns = [x[order] for x in columns]
+        new = ~_same(*columns)
+        k, *c, i = (x[new] for x in columns)
+        same = _same(k, *c)
         same[:-1] |= same[1:]
         yield from out(k[same], i[same])
 
@@ -109,7 +110,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if local:
                 yield from out(k, i)
             else:
-                parts.append((k, np.zeros(len(k), np.uint64) if check is None else np.frombuffer(check, np.uint64), i))
+                parts.append((k, i) if check is None else (k, np.frombuffer(check, np.uint64), i))
     if parts:
         yield from flush()
 

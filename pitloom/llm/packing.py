@@ -26,8 +26,10 @@ from . import words
 
 #: Words whose ids a Python worker remembers, at most, at some 40 bytes each.
 MEMORY_WORDS = 1_500_000
+#: So many words are given to the tokenizer at a time.
+ENCODE_WORDS = 16_384
 #: Texts are tokenized together up to this many bytes.
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 4 << 20
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -78,9 +80,9 @@ class Tokens:
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.rank = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted; the word's place below
+        self.hashes, self.rank = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted; the word's place below
         self.check = np.zeros(0, np.uint64)  # a second hash, by place
-        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def _find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.hashes):
@@ -88,15 +90,22 @@ class Tokens:
         at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
         return self.hashes[at] == wanted, self.rank[at]
 
+    def _encoded(self, spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after another, and how many each has; the tokenizer's objects are held for some words at a time."""
+        flat, size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]
+        for at in range(0, len(spelled), ENCODE_WORDS):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(spelled[at : at + ENCODE_WORDS], add_special_tokens=False)]
+            size.append(np.array([len(x) for x in ids], np.int32))
+            flat.append(np.fromiter((i for x in ids for i in x), np.uint32, int(size[-1].sum())))
+        return np.concatenate(flat), np.concatenate(size)
+
     def _learn(self, hashes: np.ndarray, check: np.ndarray, spelled: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(spelled, add_special_tokens=False)]
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
-        self.begin = np.append(self.begin, len(self.flat) + np.cumsum(size) - size)
+        flat, size = self._encoded(spelled)
+        self.begin = np.append(self.begin, len(self.flat) + np.cumsum(size, dtype=np.int64) - size)
         self.size, self.flat = np.append(self.size, size), np.append(self.flat, flat)
         self.check = np.append(self.check, check)
         hashes = np.append(self.hashes, hashes)
-        rank = np.append(self.rank, np.arange(len(self.size) - len(size), len(self.size)))
+        rank = np.append(self.rank, np.arange(len(self.size) - len(size), len(self.size), dtype=np.int32))
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.rank = hashes[order], rank[order]
 
@@ -128,10 +137,8 @@ class Tokens:
 
     def _one_by_one(self, buf, starts, ends, first) -> tuple[np.ndarray, np.ndarray]:
         data = buf.tobytes()
-        spelled = [data[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist())]
-        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(spelled, add_special_tokens=False)]
-        ahead = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-        return np.concatenate(ids), ahead[first]
+        flat, size = self._encoded([data[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist())])
+        return flat, np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[first]
 
 
 @functools.lru_cache(2)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are handled together up to this many bytes; a longer text is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Longer spans are hashed one by one.
 LONG_BYTES = 2048
 
@@ -42,9 +42,11 @@ def texts(column: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterat
     for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
         if not len(chunk):
             continue
-        chunk = chunk.cast(pa.large_binary()).fill_null(b"")
+        if chunk.null_count:
+            chunk = chunk.cast(pa.binary()).fill_null(b"")
         _, offsets, data = chunk.buffers()
-        offsets = np.frombuffer(offsets, np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+        wide = chunk.type in (pa.large_string(), pa.large_binary())
+        offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].astype(np.int64)
         data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
         at = 0
         while at < len(chunk):
