@@ -10,7 +10,9 @@ set is indexed under its own band's scheme and the next one's.  v and m are
 allocated for each band by cost: rows written, plus the pairs that empty
 segments would bring together, from the number of sets in the band.  Empty
 segments are indexed only for sets that have so many of them that no other
-segment need agree; of a lost pair both sets would be such.
+segment need agree; of a lost pair both sets would be such.  A few segments
+more than that are added, so that each set can do without those of its keys
+that most sets share: what a passage common to many texts brings together.
 
 Keys are counted in packed form (a few bytes for each key, sorted in numpy);
 only keys with two different sets become rows.  In each key's group the sets
@@ -41,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from . import packed, words
 from .components import components
@@ -99,7 +102,8 @@ class Scheme:
     upper: int  # largest size
     v: int
     m: int
-    need: int  # segments that must agree within v-1 elements
+    need: int  # segments that must agree within v-1 elements, beside the hot ones
+    hot: int = 0  # so many more must agree: a set's keys that most sets share are not needed
 
 
 def _bounds(percent: int, largest: int) -> list[int]:
@@ -117,8 +121,9 @@ def allocate(percent: int, band_sizes: dict[int, int], largest: int) -> list[Sch
         sets = band_sizes.get(k, 0) + band_sizes.get(k - 1, 0) + 1
         best = None
         for v in (1, 2):
+            hot = 3 + differ // v // 16
             for spare in (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32):
-                m = differ // v + 1 + spare
+                m = differ // v + 1 + spare + hot
                 if spare > max(2, m // 4):
                     break
                 a = upper * percent / 100 / m
@@ -129,13 +134,13 @@ def allocate(percent: int, band_sizes: dict[int, int], largest: int) -> list[Sch
                 # every pair of sets that both index an empty segment is compared, at some 200 rows' work
                 cost = (m if v == 1 else m + upper) + 200 * m * sets * (rare * weak) ** 2
                 if best is None or cost < best[0]:
-                    best = (cost, Scheme(upper, v, m, 1 + spare))
+                    best = (cost, Scheme(upper, v, m, 1 + spare, hot))
         out.append(best[1])
     return out
 
 
 def _keys(sets: np.ndarray, first: np.ndarray, schemes: list[Scheme]) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of the sets, and the set of each key."""
+    """Index keys of the sets, and the set of each key; a key's last bit is that of its scheme's number."""
     size = np.diff(first)
     uppers = np.array([s.upper for s in schemes])
     band = np.searchsorted(uppers, size)
@@ -157,13 +162,14 @@ def _keys(sets: np.ndarray, first: np.ndarray, schemes: list[Scheme]) -> tuple[n
         weak = np.bincount(of[count < v[of]], minlength=len(size)) if len(of) else np.zeros(len(size), np.int64)
         rare = weak >= need
         use = (count > 0) | rare[of]
-        keys.append(words.mix(total[use] + words.mix(place[use] + count[use].astype(np.uint64))))
+        odd = (k & 1).astype(np.uint64)
+        keys.append(words.mix(total[use] + words.mix(place[use] + count[use].astype(np.uint64))) >> np.uint64(1) << np.uint64(1) | odd[of[use]])
         who.append(of[use])
         two = v[owner] == 2
         left = count[slot] - 1
         two &= (left > 0) | rare[owner]
         s = slot[two]
-        keys.append(words.mix((total[s] - mixed[two]) + words.mix(place[s] + left[two].astype(np.uint64))))
+        keys.append(words.mix((total[s] - mixed[two]) + words.mix(place[s] + left[two].astype(np.uint64))) >> np.uint64(1) << np.uint64(1) | odd[owner[two]])
         who.append(owner[two])
     return np.concatenate(keys), np.concatenate(who)
 
@@ -262,6 +268,8 @@ def _rooted(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int]:
     total = sum(c * sum(s.m + (bounds[k] if s.v == 2 else 0) for s in schemes[k : k + 2]) for k, c in sizes.items())
     buckets = packed.buckets_for(docs.sparkSession, total)
     member = checkpointed(packed.shared(docs.select("text").mapInArrow(_packer(n, seed, schemes, buckets), packed.SCHEMA)).distinct())
+    every, member = member, checkpointed(_without_hot(member, classes.select("id", band.alias("band")), schemes))
+    forget(every)
     star = checkpointed(_centres(member))
     near = checkpointed(member.join(star, "key").where("id <> a"))
     texts = checkpointed(_texts(docs, member.select("id").distinct().join(classes, "id").select("id", "doc"), n, seed))
@@ -292,6 +300,23 @@ def _rooted(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int]:
     return light.join(answer, "id", "left").select("doc_id", "n_shingles", "id", "root", "component_id"), seed
 
 
+def _without_hot(member: DataFrame, bands: DataFrame, schemes: list[Scheme]) -> DataFrame:
+    """member without the keys that each set need not have: of either scheme those that most sets share.
+
+    Linked sets share need + hot keys of one scheme.  Keys are ordered by the
+    number of their sets, then by themselves; of the keys that two sets share
+    the last one in this order is among the first `hot` of neither.
+    """
+    sized = member.join(member.groupBy("key").agg(F.count(F.lit(1)).alias("sets")), "key").join(bands, "id")
+    odd = F.col("key").bitwiseAND(1).cast("int")
+    # a set is indexed under its band's scheme and the next one's
+    number = F.least(F.when(F.col("band") % 2 == odd, F.col("band")).otherwise(F.col("band") + 1), F.lit(len(schemes) - 1))
+    order = Window.partitionBy("id", odd).orderBy(F.desc("sets"), "key")
+    kept = sized.withColumn("place", F.row_number().over(order)).where(F.col("place") > F.element_at(F.array(*(F.lit(s.hot) for s in schemes)), number + 1)).select("key", "id")
+    several = kept.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("key")
+    return kept.join(several, "key")
+
+
 def _centres(member: DataFrame) -> DataFrame:
     """(key, a): of each key's sets the one that shares most keys with other sets."""
     size = member.groupBy("key").agg(F.count(F.lit(1)).alias("size"))

@@ -75,10 +75,10 @@ def pack(keys: np.ndarray, ids: np.ndarray, buckets: int, again: bool = False, c
 
 
 def _long(bucket: int, kept: bytes) -> np.ndarray:
-    """Keys of six bytes as 64-bit keys that differ between buckets."""
+    """Keys of six bytes as 64-bit keys that differ between buckets; the lowest byte stays."""
     whole = np.zeros((len(kept) // 6, 8), np.uint8)
     whole[:, :6] = np.frombuffer(kept, np.uint8).reshape(-1, 6)
-    return whole.view(np.uint64)[:, 0] ^ mix(np.array([bucket], np.uint64))
+    return whole.view(np.uint64)[:, 0] ^ (mix(np.array([bucket], np.uint64)) << np.uint64(8))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
