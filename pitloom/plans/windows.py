@@ -184,23 +184,3 @@ def x3_idiosyncratic_vol(spark, d):
     j = r.join(r.groupBy("date").agg(F.avg("r").alias("m")), "date").where("r is not null")
     rest = F.regr_syy("r", "m") - F.regr_sxy("r", "m") * F.regr_sxy("r", "m") / F.regr_sxx("r", "m")
     return j.groupBy("ticker").agg(rounded(-F.sqrt(rest / F.count(F.lit(1))) * F.sqrt(F.lit(252)), 5).alias("ivol"), rounded(-correlation(F.col("r"), F.col("m")) * F.stddev_samp("r") / F.stddev_samp("m"), 5).alias("bab"))
-
-
-@query(f"WITH {RETURNS}, k AS (SELECT ticker, r, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM rets), t AS (SELECT ticker, r, row_number() OVER (PARTITION BY ticker ORDER BY r DESC) AS m FROM k WHERE n <= 21 AND r IS NOT NULL) SELECT ticker, round(-avg(r), 6) AS max_factor FROM t WHERE m <= 5 GROUP BY 1")
-def x4_max_factor(spark, d):
-    last = Window.partitionBy("ticker").orderBy(F.desc("date"))
-    rows = returns(spark, d).withColumn("n", F.row_number().over(last)).where("n <= 21 and r is not null")
-    top = rows.withColumn("m", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("r")))).where("m <= 5")
-    return top.groupBy("ticker").agg(rounded(-F.avg("r")).alias("max_factor"))
-
-
-@query()
-def w15_moving_average(spark, d):
-    """Recursive smoothing has no window form; a ticker's rows go to one Arrow group."""
-    def smooth(pdf):
-        pdf = pdf.sort_values("date")
-        pdf["ema"] = pdf["close"].ewm(span=12, adjust=False, min_periods=12).mean()
-        return pdf[["ticker", "date", "ema"]]
-
-    out = bars(spark, d).select("ticker", "date", "close").groupBy("ticker").applyInPandas(smooth, "ticker string, date date, ema double")
-    return _out(out.withColumn("ema", F.nanvl("ema", F.lit(None))), "ema")

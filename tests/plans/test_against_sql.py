@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from pitloom.plans import relational, streams, windows  # noqa: F401
+from pitloom.plans import cleaning, features, relational, research, streams, windows  # noqa: F401
 from pitloom.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -35,8 +35,3 @@ def test_query(spark, duck, name):
     rows = want.project(", ".join(f'"{c}"' for c in columns)).fetchall()
     got = out.select(*columns).collect()
     assert sorted(tuple(map(plain, r)) for r in got) == sorted(tuple(map(plain, r)) for r in rows)
-
-
-def test_moving_average(spark):
-    rows = QUERIES["w15_moving_average"](spark, SF).collect()
-    assert any(r.ema is None for r in rows) and any(r.ema is not None for r in rows)
