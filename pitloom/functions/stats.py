@@ -62,3 +62,8 @@ def correlation(x: Column, y: Column) -> Column:
 
 def next_business_day(d: Column) -> Column:
     return F.when(F.dayofweek(d) == 6, F.date_add(d, 3)).when(F.dayofweek(d) == 7, F.date_add(d, 2)).otherwise(F.date_add(d, 1))
+
+
+def normalized_ticker(x: Column) -> Column:
+    """Trimmed, in upper case, without an exchange before a colon or one of the usual suffixes."""
+    return F.regexp_replace(F.upper(F.trim(x)), r"^(NSE|BSE|NYSE)\s*:\s*|\.(NS|BO|N)$", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.stats import clip, next_business_day
+from ..functions.stats import clip, next_business_day, normalized_ticker
 from ..operators.joins import asof_join, keep_last, pair_correlations, replace_by_key
 from ..sources.tables import bars, range_scan, table
 from .registry import BARS, RETURNS, day, query, rounded
@@ -86,7 +86,7 @@ def pf15_delisted(spark, d):
 
 @query("SELECT CASE p_brand WHEN 'Brand#1' THEN 'Brand#100' WHEN 'Brand#2' THEN 'Brand#200' ELSE p_brand END AS ticker, count(*) AS n FROM part GROUP BY 1")
 def pf16_symbol_migration(spark, d):
-    moves = spark.createDataFrame([("Brand#1", "Brand#100"), ("Brand#2", "Brand#200")], "old string, new string")
+    moves = spark.createDataFrame([("Brand#1", "Brand#100", "1996-01-01"), ("Brand#2", "Brand#200", "1999-01-01"), ("Brand#3", "Brand#300", "2030-01-01")], "old string, new string, effective string").where("effective <= '2001-12-31'")
     parts = table(spark, d, "part").join(F.broadcast(moves), F.col("p_brand") == F.col("old"), "left")
     return parts.groupBy(F.coalesce("new", "p_brand").alias("ticker")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -172,9 +172,9 @@ def j19_scenarios(spark, d):
     return table(spark, d, "lineitem").join(F.broadcast(shocks)).groupBy("scenario").agg(rounded(F.sum(pnl), 2).alias("pnl"))
 
 
-@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_extendedprice), 6) AS mean, round(stddev_samp(l_extendedprice), 6) AS sd, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 10")
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_extendedprice), 6) AS mean, round(stddev_samp(l_extendedprice), 6) AS sd, count(DISTINCT l_partkey) AS parts, round(avg(l_quantity) * avg(l_discount), 6) AS product FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 10")
 def a1_group_aggregates(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("l_extendedprice")).alias("mean"), rounded(F.stddev_samp("l_extendedprice")).alias("sd"), F.countDistinct("l_partkey").alias("parts")).where("n >= 10")
+    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("l_extendedprice")).alias("mean"), rounded(F.stddev_samp("l_extendedprice")).alias("sd"), F.countDistinct("l_partkey").alias("parts"), rounded(F.avg("l_quantity") * F.avg("l_discount")).alias("product")).where("n >= 10")
 
 
 @query("SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 6) AS bought, round(sum(CASE WHEN event_type = 'error' THEN value ELSE 0 END), 6) AS lost, count(CASE WHEN event_type = 'view' THEN 1 END) AS views, max(CASE WHEN value > 100 THEN 1 ELSE 0 END) AS large FROM events GROUP BY 1, 2")
@@ -231,10 +231,10 @@ def a11_weekly_resample(spark, d):
     return o.groupBy("o_orderpriority", day(week_ending_friday(F.to_date("o_orderdate"))).alias("week")).agg(F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("last"), rounded(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT count(*) AS n, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS duplicates, count(*) FILTER (l_discount > 0.05) AS outside, count(*) - count(l_tax) AS missing, CAST(max(CAST(l_shipdate AS DATE)) AS VARCHAR) AS newest FROM lineitem")
+@query("SELECT count(*) AS n, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS duplicates, count(*) FILTER (l_discount > 0.05) AS outside, count(*) - count(l_tax) AS missing, CAST(max(CAST(l_shipdate AS DATE)) AS VARCHAR) AS newest, CAST(count(*) - count(l_tax) > 0.9 * count(*) AS INTEGER) AS nearly_empty, round(100 * (1 - (count(*) - count(l_tax)) / count(*)) * (1 - (count(*) - count(DISTINCT (l_orderkey, l_linenumber))) / count(*)), 6) AS score FROM lineitem")
 def a25_quality_counts(spark, d):
     keyed = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("l_discount") > 0.05, 1)).alias("o"), F.count("l_tax").alias("t"), F.max("l_shipdate").alias("s"))
-    return keyed.agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("duplicates"), F.sum("o").alias("outside"), (F.sum("n") - F.sum("t")).alias("missing"), day(F.max("s")).alias("newest"))
+    return keyed.agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("duplicates"), F.sum("o").alias("outside"), (F.sum("n") - F.sum("t")).alias("missing"), day(F.max("s")).alias("newest"), (F.sum("n") - F.sum("t") > 0.9 * F.sum("n")).cast("int").alias("nearly_empty"), rounded(100 * (F.sum("t") / F.sum("n")) * (1 - F.sum(F.col("n") - 1) / F.sum("n"))).alias("score"))
 
 
 @query("WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b FROM lineitem) SELECT count(*) AS outside FROM lineitem, q WHERE l_extendedprice < a - 0.2 * (b - a) OR l_extendedprice > b + 0.2 * (b - a)")
@@ -286,17 +286,17 @@ def f5_next_business_day(spark, d):
     return table(spark, d, "events").select("event_id", day(next_business_day(F.to_date("ts"))).alias("available"))
 
 
-@query("SELECT p_partkey, upper(trim(regexp_replace(p_brand, 'Brand#', ' B'))) AS ticker, lower(regexp_replace(p_name, '[^A-Za-z0-9]+', '_', 'g')) AS metric FROM part")
+@query("SELECT p_partkey, upper(regexp_replace(p_brand, 'Brand#', 'B')) AS ticker, lower(regexp_replace(p_name, '[^A-Za-z0-9]+', '_', 'g')) AS metric FROM part")
 def f1_normalized_names(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.upper(F.trim(F.regexp_replace("p_brand", "Brand#", " B"))).alias("ticker"), F.lower(F.regexp_replace("p_name", "[^A-Za-z0-9]+", "_")).alias("metric"))
+    return table(spark, d, "part").select("p_partkey", normalized_ticker(F.concat(F.when(F.col("p_size") % 2 == 0, "nse: ").otherwise(" "), F.regexp_replace("p_brand", "Brand#", "b"), F.when(F.col("p_size") % 3 == 0, ".NS").otherwise(" "))).alias("ticker"), F.lower(F.regexp_replace("p_name", "[^A-Za-z0-9]+", "_")).alias("metric"))
 
 
-@query("SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), 'https?://[^ ]+', ' ', 'g'), '[ \\n\\t\\r]+', ' ', 'g'))) AS n FROM pages")
+@query("SELECT page_id, md5(left(trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), 'https?://[^ ]+', ' ', 'g'), '[ \\n\\t\\r]+', ' ', 'g')), 2000)) AS head, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), 'https?://[^ ]+', ' ', 'g'), '[ \\n\\t\\r]+', ' ', 'g'))) AS n FROM pages")
 def f12_stripped_text(spark, d):
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), "https?://[^ ]+", " "), "[ \\n\\t\\r]+", " ")
-    return table(spark, d, "pages").select("page_id", F.length(F.trim(text)).cast("long").alias("n"))
+    return table(spark, d, "pages").select("page_id", F.md5(F.left(F.trim(text), F.lit(2000))).alias("head"), F.length(F.trim(text)).cast("long").alias("n"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_object('event', event_type, 'k', CAST(json_extract(props, '$.k') AS BIGINT)) AS VARCHAR) AS payload FROM events")
 def f26_json_field(spark, d):
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.to_json(F.struct(F.col("event_type").alias("event"), F.from_json("props", "k long")["k"].alias("k"))).alias("payload"))

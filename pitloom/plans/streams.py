@@ -7,13 +7,17 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..streaming.rollups import distinct_within, event_stream, run_to_table, tumbling_counts
+from ..sources.tables import table
+from ..streaming.rollups import breaches, distinct_within, event_stream, followed, held_regimes, run_to_table, sessions, sliding_counts, tumbling_counts
 from .registry import day, query, rounded
 
 
 def _folder(spark) -> str:
     """A new folder where all executors can write: under spark.checkpoint.dir if the session names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not (spark.sparkContext.master or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-stream-")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
@@ -28,3 +32,56 @@ def st3_tumbling_windows(spark, d):
 def st6_deduplicated(spark, d):
     stream = event_stream(spark, d)
     return run_to_table(distinct_within(stream.union(stream), ["event_id"], "60 days").select("event_id"), _folder(spark))
+
+
+@query("SELECT event_type, count(*) AS n, sum(length(event_type) + event_id) AS total FROM events GROUP BY 1")
+def st1_event_sink(spark, d):
+    """An append-only log whose payload is JSON, read back from the sink."""
+    log = event_stream(spark, d).select("event_id", "ts", F.to_json(F.struct("event_type", "user_id")).alias("payload"))
+    rows = run_to_table(log, _folder(spark)).withColumn("event_type", F.get_json_object("payload", "$.event_type"))
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("event_type") + F.col("event_id")).alias("total"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'kept' ELSE 'scored' END AS origin, round(CASE WHEN event_id % 2 = 0 THEN value ELSE value / (1 + value) END, 6) AS score FROM events")
+def st2_incremental_scores(spark, d):
+    """Only events that the store lacks are scored; the stored ones stay as they are."""
+    store = table(spark, d, "events").where("event_id % 2 = 0").select("event_id", F.lit("kept").alias("origin"), rounded("value").alias("score"))
+    known = store.select("event_id", F.lit(1).alias("known"))
+    new = event_stream(spark, d).join(known, "event_id", "left").where("known is null").select("event_id", F.lit("scored").alias("origin"), rounded(F.col("value") / (1 + F.col("value"))).alias("score"))
+    return store.unionByName(run_to_table(new, _folder(spark)))
+
+
+@query("WITH x AS (SELECT CAST(ts AS DATE) AS d, event_type FROM events), w AS (SELECT d - CAST(k AS INTEGER) AS s, event_type FROM x, (SELECT unnest(range(0, 5)) AS k)) SELECT CAST(CAST(s AS DATE) AS VARCHAR) AS start, event_type, count(*) AS n FROM w WHERE s + 5 <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) GROUP BY 1, 2")
+def st4_sliding_windows(spark, d):
+    rows = run_to_table(sliding_counts(event_stream(spark, d), "5 days", "1 day"), _folder(spark))
+    return rows.select(day(F.col("w.start")).alias("start"), "event_type", "n")
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)")
+def st5_sessions(spark, d):
+    rows = run_to_table(sessions(event_stream(spark, d), "user_id", "6 hours"), _folder(spark))
+    return rows.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("SELECT event_id, coalesce(last_value(CASE WHEN value > 80 THEN 'high' WHEN value < 5 THEN 'low' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'none') AS regime FROM events")
+def st7_held_regimes(spark, d):
+    return run_to_table(held_regimes(event_stream(spark, d), "user_id", 5.0, 80.0), _folder(spark))
+
+
+@query("WITH r AS (SELECT event_id, user_id, ts, sum(value - 60) OVER w AS run FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), p AS (SELECT event_id, greatest(max(run) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) - run AS fall FROM r) SELECT event_id, round(fall, 4) AS fall FROM p WHERE fall > 100")
+def st8_breaches(spark, d):
+    return run_to_table(breaches(event_stream(spark, d), "user_id", 60.0, 100.0), _folder(spark)).withColumn("fall", rounded("fall", 4))
+
+
+@query("WITH k AS (SELECT CAST(ts AS DATE) + 1 AS available, round(avg(value), 6) AS level FROM events GROUP BY 1) SELECT event_id, level FROM events LEFT JOIN k ON CAST(ts AS DATE) = available")
+def st9_enriched(spark, d):
+    """What was known the day before is a static table; each day of it is one row."""
+    known = table(spark, d, "events").groupBy(F.date_add(F.to_date("ts"), 1).alias("available")).agg(rounded(F.avg("value")).alias("level"))
+    stream = event_stream(spark, d).withColumn("available", F.to_date("ts"))
+    return run_to_table(stream.join(known, "available", "left").select("event_id", "level"), _folder(spark))
+
+
+@query("SELECT a.event_id AS first, b.event_id AS then FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 12 HOUR WHERE a.event_type = 'view' AND b.event_type = 'purchase'")
+def st10_interval_join(spark, d):
+    kind = lambda k: event_stream(spark, d).where(F.col("event_type") == k)
+    return run_to_table(followed(kind("view"), kind("purchase"), "user_id", "12 HOURS"), _folder(spark))

@@ -26,11 +26,11 @@ def w1_changes(spark, d):
     return _out(bars(spark, d).withColumns({"past": change(F.col("close"), "ticker", 4), "ahead": forward_change(F.col("close"), "ticker", 4)}), "past", "ahead")
 
 
-@query(f"WITH {RETURNS} SELECT {_DATE}, ticker, round(CASE WHEN count(r) OVER w >= 10 THEN avg(r) OVER w END, 6) AS mean, round(CASE WHEN count(r) OVER w >= 10 THEN stddev_samp(r) OVER w END, 6) AS sd, round(CASE WHEN count(r) OVER w >= 10 THEN max(r) OVER w END, 6) AS top FROM rets WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING)")
+@query(f"WITH {RETURNS} SELECT {_DATE}, ticker, round(CASE WHEN count(r) OVER w >= 10 THEN avg(r) OVER w END, 6) AS mean, round(CASE WHEN count(r) OVER w >= 10 THEN stddev_samp(r) OVER w END, 6) AS sd, round(CASE WHEN count(r) OVER w >= 10 THEN max(r) OVER w END, 6) AS top, round(CASE WHEN count(r) OVER w >= 10 THEN min(r) OVER w END, 6) AS low, round(CASE WHEN count(r) OVER w >= 10 THEN sum(r) OVER w END, 5) AS total FROM rets WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING)")
 def w2_rolling(spark, d):
     r, w = F.col("r"), frame("ticker", 20)
-    out = returns(spark, d).withColumns({"mean": guarded(F.avg(r).over(w), r, w, 10), "sd": guarded(F.stddev_samp(r).over(w), r, w, 10), "top": guarded(F.max(r).over(w), r, w, 10)})
-    return _out(out, "mean", "sd", "top")
+    out = returns(spark, d).withColumns({"mean": guarded(F.avg(r).over(w), r, w, 10), "sd": guarded(F.stddev_samp(r).over(w), r, w, 10), "top": guarded(F.max(r).over(w), r, w, 10), "low": guarded(F.min(r).over(w), r, w, 10), "total": F.round(guarded(F.sum(r).over(w), r, w, 10), 5)})
+    return _out(out, "mean", "sd", "top", "low", "total")
 
 
 @query(f"WITH {BARS} SELECT {_DATE}, ticker, round(CASE WHEN count(close) OVER w >= 12 THEN (close - avg(close) OVER w) / nullif(stddev_samp(close) OVER w, 0) END, 6) AS z, round((close - avg(close) OVER e) / nullif(stddev_samp(close) OVER e, 0), 6) AS ez FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 25 PRECEDING), e AS (PARTITION BY ticker ORDER BY date)")
@@ -84,10 +84,11 @@ def w14_drawdown_episodes(spark, d):
     return out.where("weeks > 0").drop("g")
 
 
-@query(f"WITH {BARS} SELECT {_DATE}, ticker, round((close - min(close) OVER w) / nullif(max(close) OVER w - min(close) OVER w, 0), 6) AS rank FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 51 PRECEDING)")
+@query(f"WITH {BARS}, l AS (SELECT *, list(close) OVER w AS c, (close - min(close) OVER w) / nullif(max(close) OVER w - min(close) OVER w, 0) AS rk FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 51 PRECEDING)) SELECT {_DATE}, ticker, round(rk, 6) AS rank, round(len(list_filter(c, lambda x: x < close)) * 1.0 / len(c), 6) AS percentile FROM l WHERE len(c) >= 20")
 def w19_range_rank(spark, d):
     c, w = F.col("close"), frame("ticker", 52)
-    return _out(bars(spark, d).withColumn("rank", F.try_divide(c - F.min(c).over(w), F.max(c).over(w) - F.min(c).over(w))), "rank")
+    b = bars(spark, d).withColumns({"rank": F.try_divide(c - F.min(c).over(w), F.max(c).over(w) - F.min(c).over(w)), "c": F.collect_list(c).over(w)}).where(F.size("c") >= 20)
+    return _out(b.withColumn("percentile", F.size(F.filter("c", lambda x: x < c)) / F.size("c")), "rank", "percentile")
 
 
 @query(f"WITH {BARS} SELECT {_DATE}, ticker, round(last_value(CASE WHEN volume > 150 THEN close END IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date), 6) AS filled FROM bars")
@@ -95,10 +96,10 @@ def w22_forward_fill(spark, d):
     return _out(bars(spark, d).withColumn("filled", F.last(F.when(F.col("volume") > 150, F.col("close")), ignorenulls=True).over(since("ticker"))), "filled")
 
 
-@query(f"WITH {RETURNS} SELECT {_DATE}, ticker, CAST(sum(CASE WHEN r < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY date ROWS 2 PRECEDING) = 3 AS INTEGER) AS streak FROM rets")
+@query(f"WITH {RETURNS} SELECT {_DATE}, ticker, CAST(sum(CASE WHEN r < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY date ROWS 2 PRECEDING) = 3 AS INTEGER) AS streak, CAST(sum(CASE WHEN r > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY date ROWS 1 PRECEDING) = 2 AS INTEGER) AS rises FROM rets")
 def w23_losing_streak(spark, d):
     bad = F.sum(F.when(F.col("r") < 0, 1).otherwise(0)).over(frame("ticker", 3))
-    return returns(spark, d).select(day("date").alias("date"), "ticker", (bad == 3).cast("int").alias("streak"))
+    return returns(spark, d).select(day("date").alias("date"), "ticker", (bad == 3).cast("int").alias("streak"), (F.sum(F.when(F.col("r") > 0, 1).otherwise(0)).over(frame("ticker", 2)) == 2).cast("int").alias("rises"))
 
 
 _IC = f"""WITH {RETURNS}, f AS (SELECT date, ticker, r, lead(close) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS fwd FROM rets),
@@ -146,10 +147,12 @@ def a19_signal_turnover(spark, d):
     return returns(spark, d).withColumn("p", F.lag("r").over(by("ticker"))).groupBy(day("date").alias("date")).agg(rounded(F.avg(F.abs(F.col("r") - F.col("p")))).alias("turnover"))
 
 
-@query(f"WITH {RETURNS} SELECT ticker, year(date) AS year, round(avg(r), 6) AS mean, round(stddev_samp(r) * sqrt(52), 6) AS vol, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(52), 6) AS sharpe, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 6) AS wins FROM rets WHERE r IS NOT NULL GROUP BY 1, 2")
+@query(f"WITH {RETURNS} SELECT ticker, year(date) AS year, round(avg(r), 6) AS mean, round(stddev_samp(r) * sqrt(52), 6) AS vol, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(52), 6) AS sharpe, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 6) AS wins, round(exp(sum(ln(1 + r * 0.01))) - 1, 6) AS total, round(exp(sum(ln(1 + r * 0.01)) * 52 / count(*)) - 1, 6) AS annual, round(min(dd), 6) AS drawdown FROM (SELECT *, exp(run) / exp(greatest(max(run) OVER (PARTITION BY ticker, year(date) ORDER BY date), 0)) - 1 AS dd FROM (SELECT *, sum(ln(1 + r * 0.01)) OVER (PARTITION BY ticker, year(date) ORDER BY date) AS run FROM rets WHERE r IS NOT NULL)) GROUP BY 1, 2")
 def a20_period_kpis(spark, d):
-    r = returns(spark, d).where("r is not null").groupBy("ticker", F.year("date").cast("long").alias("year"))
-    return r.agg(rounded(F.avg("r")).alias("mean"), rounded(F.stddev_samp("r") * F.sqrt(F.lit(52))).alias("vol"), rounded(F.try_divide(F.avg("r"), F.stddev_samp("r")) * F.sqrt(F.lit(52))).alias("sharpe"), rounded(F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0))).alias("wins"))
+    l, w = F.log1p(F.col("r") * 0.01), Window.partitionBy("ticker", "year").orderBy("date")
+    r = returns(spark, d).where("r is not null").withColumn("year", F.year("date").cast("long")).withColumn("run", F.sum(l).over(w))
+    r = r.withColumn("dd", F.exp(F.col("run") - F.greatest(F.max("run").over(w), F.lit(0.0))) - 1).groupBy("ticker", "year")
+    return r.agg(rounded(F.avg("r")).alias("mean"), rounded(F.stddev_samp("r") * F.sqrt(F.lit(52))).alias("vol"), rounded(F.try_divide(F.avg("r"), F.stddev_samp("r")) * F.sqrt(F.lit(52))).alias("sharpe"), rounded(F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0))).alias("wins"), rounded(F.exp(F.sum(l)) - 1).alias("total"), rounded(F.exp(F.sum(l) * 52 / F.count(F.lit(1))) - 1).alias("annual"), rounded(F.min("dd")).alias("drawdown"))
 
 
 @query(f"WITH {RETURNS}, s AS (SELECT ticker, date, CASE WHEN r > 0.02 THEN 'up' WHEN r < -0.02 THEN 'down' ELSE 'flat' END AS a FROM rets), t AS (SELECT a, lead(a) OVER (PARTITION BY ticker ORDER BY date) AS b FROM s) SELECT a, b, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY a), 6) AS p FROM t WHERE b IS NOT NULL GROUP BY 1, 2")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,3 +27,49 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFr
     query = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def sliding_counts(events: DataFrame, width: str, step: str, late: str = "2 days") -> DataFrame:
+    return events.withWatermark("ts", late).groupBy(F.window("ts", width, step).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sessions(events: DataFrame, key: str, gap: str, late: str = "2 days") -> DataFrame:
+    """Bursts of a key's events, split where nothing comes for so long."""
+    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def followed(first: DataFrame, then: DataFrame, key: str, within: str, late: str = "2 days") -> DataFrame:
+    """Pairs of events of one key, the second after the first and within so long; state is kept no longer than that."""
+    a = first.withWatermark("ts", late).select(F.col(key).alias("_a"), F.col("ts").alias("_at"), F.col("event_id").alias("first"))
+    b = then.withWatermark("ts", late).select(F.col(key).alias("_b"), F.col("ts").alias("_then"), F.col("event_id").alias("then"))
+    return a.join(b, F.expr(f"_a = _b AND _then > _at AND _then <= _at + INTERVAL {within}")).select("first", "then")
+
+
+def held_regimes(events: DataFrame, key: str, low: float, high: float) -> DataFrame:
+    """(event_id, regime): a key turns high above one bound and low below the other, and keeps its regime in between.
+
+    The regime is state of the key, so it outlives micro-batches; a batch's
+    events of a key are taken in order of time.
+    """
+    def update(_, batches, state):
+        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        now = pd.Series(np.where(pdf["value"] > high, "high", np.where(pdf["value"] < low, "low", None)), index=pdf.index, dtype=object)
+        regime = now.ffill().fillna(state.get[0] if state.exists else "none")
+        state.update((regime.iloc[-1],))
+        yield pd.DataFrame({"event_id": pdf["event_id"], "regime": regime})
+
+    return events.select(key, "event_id", "ts", "value").groupBy(key).applyInPandasWithState(update, "event_id long, regime string", "regime string", "append", "NoTimeout")
+
+
+def breaches(events: DataFrame, key: str, start: float, limit: float) -> DataFrame:
+    """(event_id, fall): events at which a key's running sum of (value - start) lies more than the limit below its peak; sum and peak are state."""
+    def update(_, batches, state):
+        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        total, peak = state.get if state.exists else (0.0, 0.0)
+        run = total + (pdf["value"] - start).cumsum()
+        top = run.cummax().clip(lower=peak)
+        state.update((float(run.iloc[-1]), float(top.iloc[-1])))
+        out = pd.DataFrame({"event_id": pdf["event_id"], "fall": top - run})
+        yield out[out["fall"] > limit]
+
+    return events.select(key, "event_id", "ts", "value").groupBy(key).applyInPandasWithState(update, "event_id long, fall double", "total double, peak double", "append", "NoTimeout")
