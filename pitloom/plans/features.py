@@ -478,14 +478,14 @@ def f20_impact_price(spark, d):
 _DCF = " + ".join(f"cash * pow(1.08, {i}) / pow(1.11, {i})" for i in range(1, 6))
 
 
-@query(f"WITH {_YEARS} SELECT ticker, y, round({_DCF} + cash * pow(1.08, 5) * 1.03 / (0.11 - 0.03) / pow(1.11, 5), 2) AS dcf, round(assets + (income - 0.11 * assets) / (0.11 - 0.02), 2) AS residual, round(income * 0.4 * 1.04 / (0.11 - 0.04), 2) AS dividends FROM f")
+@query(f"WITH {_YEARS} SELECT ticker, y, round({_DCF} + cash * pow(1.08, 5) * 1.03 / (0.11 - 0.03) / pow(1.11, 5), 5) AS dcf, round(assets + (income - 0.11 * assets) / (0.11 - 0.02), 5) AS residual, round(income * 0.4 * 1.04 / (0.11 - 0.04), 5) AS dividends FROM f")
 def f21_intrinsic_values(spark, d):
-    return statements(spark, d).select("ticker", "y", rounded(F.expr(f"{_DCF} + cash * pow(1.08, 5) * 1.03D / (0.11D - 0.03D) / pow(1.11, 5)"), 2).alias("dcf"), rounded(F.expr("assets + (income - 0.11D * assets) / (0.11D - 0.02D)"), 2).alias("residual"), rounded(F.expr("income * 0.4D * 1.04D / (0.11D - 0.04D)"), 2).alias("dividends"))
+    return statements(spark, d).select("ticker", "y", rounded(F.expr(f"{_DCF} + cash * pow(1.08, 5) * 1.03D / (0.11D - 0.03D) / pow(1.11, 5)"), 5).alias("dcf"), rounded(F.expr("assets + (income - 0.11D * assets) / (0.11D - 0.02D)"), 5).alias("residual"), rounded(F.expr("income * 0.4D * 1.04D / (0.11D - 0.04D)"), 5).alias("dividends"))
 
 
-@query(f"WITH {_YEARS} SELECT ticker, y, round(8 * cash - debt * 100 + income, 2) AS deal, round((8 * cash * pow(1.05, 5) - debt * 60) / pow(1.2, 5), 2) AS buyout FROM f")
+@query(f"WITH {_YEARS} SELECT ticker, y, round(8 * cash - debt * 100 + income, 5) AS deal, round((8 * cash * pow(1.05, 5) - debt * 60) / pow(1.2, 5), 5) AS buyout FROM f")
 def f22_transaction_values(spark, d):
-    return statements(spark, d).select("ticker", "y", rounded(F.expr("8 * cash - debt * 100 + income"), 2).alias("deal"), rounded(F.expr("(8 * cash * pow(1.05, 5) - debt * 60) / pow(1.2, 5)"), 2).alias("buyout"))
+    return statements(spark, d).select("ticker", "y", rounded(F.expr("8 * cash - debt * 100 + income"), 5).alias("deal"), rounded(F.expr("(8 * cash * pow(1.05, 5) - debt * 60) / pow(1.2, 5)"), 5).alias("buyout"))
 
 
 @query(f"WITH {_YEARS} SELECT ticker, y, round(0.3 * least(revenue / assets * 10, 100) + 0.25 * least(greatest((revenue / p_revenue - 0.5) * 100, 0), 100) + 0.2 * least(greatest(income / revenue * 1000, 0), 100) + 0.25 * (100 - least(debt / shares, 100)), 5) AS score FROM f WHERE p_revenue IS NOT NULL")

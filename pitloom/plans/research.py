@@ -303,10 +303,10 @@ _CRISES = [("one", "1996-01-01", "1996-06-30"), ("two", "1998-07-01", "1998-12-3
 _CRISIS_SQL = "c(crisis, a, b) AS (VALUES " + ", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in _CRISES) + ")"
 
 
-@query(f"WITH {_SERIES}, {_CRISIS_SQL}, k AS (SELECT crisis, date, exp(sum(ln(1 + m)) OVER (PARTITION BY crisis ORDER BY date)) AS eq FROM s JOIN c ON date BETWEEN a AND b) SELECT crisis, count(*) AS weeks, round(min(eq) - 1, 5) AS trough, round(max_by(eq, date) - 1, 5) AS terminal FROM k GROUP BY 1")
+@query(f"WITH {_SERIES}, {_CRISIS_SQL}, k AS (SELECT crisis, date, exp(sum(ln(1 + m * 0.01)) OVER (PARTITION BY crisis ORDER BY date)) AS eq FROM s JOIN c ON date BETWEEN a AND b) SELECT crisis, count(*) AS weeks, round(min(eq) - 1, 5) AS trough, round(max_by(eq, date) - 1, 5) AS terminal FROM k GROUP BY 1")
 def a61_crisis_windows(spark, d):
     c = spark.createDataFrame(_CRISES, "crisis string, a string, b string")
-    k = _market_series(spark, d).join(F.broadcast(c), F.col("date").between(F.col("a").cast("date"), F.col("b").cast("date"))).withColumn("eq", F.exp(F.sum(F.log1p("m")).over(since("crisis"))))
+    k = _market_series(spark, d).join(F.broadcast(c), F.col("date").between(F.col("a").cast("date"), F.col("b").cast("date"))).withColumn("eq", F.exp(F.sum(F.log1p(F.col("m") * 0.01)).over(since("crisis"))))
     return k.groupBy("crisis").agg(F.count(F.lit(1)).alias("weeks"), rounded(F.min("eq") - 1, 5).alias("trough"), rounded(F.max_by("eq", "date") - 1, 5).alias("terminal"))
 
 
@@ -349,12 +349,12 @@ def a69_breadth(spark, d):
     return returns(spark, d).where("r is not null").groupBy(day("date").alias("date")).agg(rounded(F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0))).alias("risers"), rounded(F.least(F.avg(F.abs("r")) / 0.05, F.lit(1.0))).alias("participation"), rounded(F.stddev_samp("r")).alias("dispersion"))
 
 
-@query("WITH t AS (SELECT l_orderkey, l_linenumber, l_shipdate, year(l_shipdate) AS y, l_extendedprice * l_discount AS gross, 0.0005 * l_extendedprice AS fee, l_extendedprice * l_discount * l_tax AS tax FROM lineitem), m AS (SELECT y, month(l_shipdate) AS month, sum(gross) AS gross, sum(gross - fee - tax) AS net FROM t GROUP BY 1, 2) SELECT CAST(y AS BIGINT) AS year, CAST(month AS BIGINT) AS month, round(gross, 2) AS gross, round(net, 2) AS net, round(sum(net) OVER (PARTITION BY y ORDER BY month), 2) AS ytd FROM m")
+@query("WITH t AS (SELECT l_orderkey, l_linenumber, l_shipdate, year(l_shipdate) AS y, l_extendedprice * l_discount AS gross, 0.0005 * l_extendedprice AS fee, l_extendedprice * l_discount * l_tax AS tax FROM lineitem), m AS (SELECT y, month(l_shipdate) AS month, sum(gross) AS gross, sum(gross - fee - tax) AS net FROM t GROUP BY 1, 2) SELECT CAST(y AS BIGINT) AS year, CAST(month AS BIGINT) AS month, round(gross, 6) AS gross, round(net, 6) AS net, round(sum(net) OVER (PARTITION BY y ORDER BY month), 5) AS ytd FROM m")
 def a70_trade_ledger(spark, d):
     """Months first, so the running totals of a year are over twelve rows."""
     t = table(spark, d, "lineitem").select(F.year("l_shipdate").cast("long").alias("year"), F.month("l_shipdate").cast("long").alias("month"), F.expr("l_extendedprice * l_discount").alias("gross"), F.expr("l_extendedprice * l_discount - 0.0005D * l_extendedprice - l_extendedprice * l_discount * l_tax").alias("net"))
     m = t.groupBy("year", "month").agg(F.sum("gross").alias("gross"), F.sum("net").alias("net"))
-    return m.select("year", "month", rounded("gross", 2).alias("gross"), rounded("net", 2).alias("net"), rounded(F.sum("net").over(since("year", "month")), 2).alias("ytd"))
+    return m.select("year", "month", rounded("gross").alias("gross"), rounded("net").alias("net"), rounded(F.sum("net").over(since("year", "month")), 5).alias("ytd"))
 
 
 @query("WITH k AS (SELECT event_type, user_id % 10 AS g, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS x, count(*) AS n FROM events GROUP BY 1, 2, 3) SELECT event_type, CAST(g AS BIGINT) AS g, count(*) AS days, round(regr_slope(n, x), 6) AS trend, sum(n) AS total FROM k GROUP BY 1, 2")
