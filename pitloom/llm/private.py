@@ -4,6 +4,9 @@ Entities are found by one pattern and told apart by their form.  Each unit of
 identity (an e-mail address, the digits of a number, a surname, a given name)
 gets a surrogate of its kind from an HMAC of its canonical form, so the same
 entity has the same surrogate everywhere, in whatever format it is written.
+A person is found by a title; other mentions of the names found in a text are
+then replaced in that text too, and a title that tells no gender takes that
+which the corpus gives the same full name elsewhere.
 All units of the corpus are then checked: a surrogate that two units share, or
 that is itself a unit of the corpus, is drawn again for all but one, until
 none is left.  Redrawn units are few; texts without one need no shuffle.
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .session import checkpointed
 
-_EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[A-Za-z0-9\-]{1,63}\.){1,126}[A-Za-z]{2,63}"
+_EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]{1,63}\.){1,126}\p{L}{2,63}"
 _KEYWORD = r"(?i:token|secret|password|passwd|api[_\-]?key)[\"']?\s?[=:]\s?[\"']?"
 #: Dots lie between its characters, so that a sentence's full stop is no part of it.
 _SECRET_CHAR = r"[A-Za-z0-9+/_=~\-]"
@@ -27,15 +30,19 @@ _ACCESS = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 _PHONE = r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w\-])\d{3}-\d{3}-\d{4}(?![\d\-])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
+_IPV6 = r"(?<![A-Za-z0-9:])(?=[A-Fa-f:]*+[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![A-Za-z0-9:])"
+_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _CARD = r"(?<![\d\-])(?:\d[ \-]?){12,18}\d(?![\d])"
 #: Titles by gender, fixed values.
-_MALE = r"Mr|Mister|Herr|Señor|Monsieur|господин|г-н"
-_FEMALE = r"Mrs|Ms|Miss|Frau|Señora|Madame|Mme|госпожа|г-жа"
-_NEUTRAL = r"Dr|Prof"
-_NAME = r"\p{Lu}[\p{L}'’\-]+"
+_MALE = r"Mr|MR|Mister|Herr|HERR|Señor|Sr|Monsieur|господин|г-н"
+_FEMALE = r"Mrs|MRS|Ms|MS|Miss|Frau|FRAU|Señora|Sra|Srta|Madame|Mme|госпожа|г-жа"
+_NEUTRAL = r"Dr|DR|Prof|PROF"
+_NAME = r"\p{Lu}(?:['’]\p{Lu})?[\p{L}\-]*\p{L}(?:['’]\p{Lu}[\p{L}\-]*\p{L})?"
+#: A name away from a title.
+_BARE = rf"(?<![\p{{L}}\p{{N}}]){_NAME}(?![\p{{L}}\p{{N}}])"
 _PERSON = rf"(?<![\p{{L}}])(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.? {_NAME}(?: {_NAME})?"
-PATTERN = "|".join([_EMAIL, _SECRET, _ACCESS, _PHONE, _IP, _CARD, _PERSON])
-KINDS = ["email", "secret", "access_key", "phone", "ip", "card", "person"]
+PATTERN = "|".join([_EMAIL, _SECRET, _ACCESS, _IBAN, _PHONE, _IP, _IPV6, _CARD, _PERSON])
+KINDS = ["email", "secret", "access_key", "iban", "phone", "ip", "ipv6", "card", "person"]
 
 _LATIN = "ba be bi bo da de di do fa fe ga ka ke ki la le li lo ma me mi mo na ne ni no ra re ri ro sa ta".split()
 _CYRILLIC = "ба бе би бо да де ди до фа фе га ка ке ки ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са та".split()
@@ -78,11 +85,23 @@ def _only_digits(m: Column) -> Column:
     return F.regexp_replace(m, r"[^0-9]", "")
 
 
+def _account(m: Column) -> Column:
+    """An IBAN without its spaces."""
+    return F.replace(m, F.lit(" "), F.lit(""))
+
+
+def _mod_97(account: Column) -> Column:
+    """Remainder by 97 of an IBAN whose first four characters come last and whose letters count from 10."""
+    chars = F.split(F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4)), "")
+    return F.aggregate(chars, F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), a * 10 + F.try_to_number(c, F.lit("9")).cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97)
+
+
 def kind_of(m: Column) -> Column:
     """The kind of a match; null for a number that is none."""
     digits = _only_digits(m)
     return (
         F.when(m.rlike("^" + _KEYWORD), "secret").when(m.contains("@"), "email").when(m.rlike("^AKIA[0-9A-Z]{16}$"), "access_key")
+        .when(m.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]*$"), F.when(_mod_97(_account(m)) == 1, F.lit("iban"))).when(m.rlike("^[0-9A-Fa-f]+:"), "ipv6")
         .when(m.rlike(r"^[+(]|^\d{3}-\d{3}-\d{4}$"), "phone").when(m.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip")
         .when(m.rlike(r"^[\d \-]+$"), F.when(_luhn_sum(digits, False) % 10 == 0, F.lit("card"))).otherwise("person")
     )
@@ -101,18 +120,26 @@ def _parts(m: Column) -> tuple[Column, Column, Column, Column]:
     return title, given, F.element_at(names, -1), gender
 
 
-def units_of(m: Column) -> Column:
-    """The units of a match, as an array of (kind, canon)."""
+def _full_name(m: Column) -> Column:
+    """Given name and surname in lower case; null without a given name or for another kind of match."""
+    _, given, surname, _ = _parts(m)
+    return F.when((kind_of(m) == "person") & (given != ""), F.lower(F.concat(given, F.lit(" "), surname)))
+
+
+def units_of(m: Column, gender_found: Column | None = None) -> Column:
+    """The units of a match, as an array of (kind, canon); gender_found stands in where the title tells none."""
     def unit(kind, canon):
         return F.struct(F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), canon.alias("canon"))
 
     _, given, surname, gender = _parts(m)
+    if gender_found is not None:
+        gender = F.when(gender == "n", F.coalesce(gender_found, gender)).otherwise(gender)
     kind = kind_of(m)
     person = F.array(unit(F.concat(F.lit("given_"), gender, _script(given)), F.lower(given)), unit(F.concat(F.lit("surname_"), _script(surname)), F.lower(surname)))
     person = F.filter(person, lambda u: u["canon"] != "")
     return (
         F.when(kind == "person", person).when(kind == "email", F.array(unit("email", F.lower(m)))).when(kind == "secret", F.array(unit("secret", F.regexp_replace(m, "^" + _KEYWORD, ""))))
-        .when(kind.isNotNull(), F.array(unit(kind, F.when(kind.isin("phone", "card"), _only_digits(m)).otherwise(m)))).otherwise(F.filter(F.array(unit("", F.lit(""))), lambda u: u["kind"] != ""))
+        .when(kind.isNotNull(), F.array(unit(kind, F.when(kind.isin("phone", "card"), _only_digits(m)).when(kind == "iban", _account(m)).when(kind == "ipv6", F.lower(m)).otherwise(m)))).otherwise(F.filter(F.array(unit("", F.lit(""))), lambda u: u["kind"] != ""))
     )
 
 
@@ -150,6 +177,13 @@ def _drawn(key: str, family: str, kind: Column, canon: Column, attempt: Column)
         return F.concat(F.lower(_name(h)), F.lit("."), F.lower(_name(F.substring(h, 25, 30))), (_number(h, 50, 4) % 90 + 10).cast("string"), F.lit("@example."), _pick(["com", "net", "org"], _number(h, 60, 2)))
     if family == "access_key":
         return F.concat(F.lit("AKIA"), F.upper(F.substring(h, 1, 16)))
+    if family == "iban":
+        letters = F.translate(h, "0123456789abcdef", "ABCDEFGHIJKLMNOP")
+        body = F.transform(F.split(F.substring(canon, F.lit(5), n), ""), lambda c, i: F.substring(F.when(c.rlike("[0-9]"), _digits(h)).otherwise(letters), i + 1, F.lit(1)))
+        plain = F.concat(F.substring(canon, 1, 2), F.lit("00"), F.array_join(body, ""))
+        return F.concat(F.substring(canon, 1, 2), F.lpad((98 - _mod_97(plain)).cast("string"), 2, "0"), F.substring(plain, F.lit(5), n))
+    if family == "ipv6":
+        return F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(c == ":", c).otherwise(F.substring(h, i + 1, F.lit(1)))), "")
     blocks = F.transform(F.sequence(F.lit(1), F.ceil(F.greatest(n, F.lit(1)) / 64).cast("int")), lambda i: F.when(i == 1, h).when(i == 2, _keyed_hash(key, F.concat_ws("|", message, F.lit("more")))).otherwise(_keyed_hash(key, F.concat_ws("|", message, F.lit("more"), i.cast("string")))))
     more = F.array_join(blocks, "")
     place = {c: F.translate(more, "0123456789abcdef", t) for c, t in (("digit", "0123456789012345"), ("lower", "cdefghijklmnopqr"), ("upper", "CDEFGHIJKLMNOPQR"))}
@@ -158,7 +192,7 @@ def _drawn(key: str, family: str, kind: Column, canon: Column, attempt: Column)
     return F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(hexed, at(more, i)).when(c.rlike("[0-9]"), at(place["digit"], i)).when(c.rlike("[a-z]"), at(place["lower"], i)).when(c.rlike("[A-Z]"), at(place["upper"], i)).otherwise(c)), "")
 
 
-_FAMILIES = ["card", "phone", "ip", "email", "access_key", "secret", "name"]
+_FAMILIES = ["card", "phone", "ip", "email", "access_key", "iban", "ipv6", "secret", "name"]
 
 
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
@@ -183,57 +217,110 @@ def _redrawn(units: DataFrame, key: str) -> DataFrame:
         state = checkpointed(state.join(losers.withColumn("_again", F.lit(1)), ["kind", "canon"], "left").select("kind", "canon", (F.col("attempt") + F.coalesce("_again", F.lit(0))).alias("attempt")))
 
 
+def _spaced(m: Column, account: Column) -> Column:
+    """account with m's spaces."""
+    return F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substring(account, F.length(_account(F.substring(m, F.lit(1), i + 1))), F.lit(1)))), "")
+
+
+def _dressed(name: Column, new: Column) -> Column:
+    """new in the form of name: all in capitals, or with a particle such as O'."""
+    new = F.concat(F.regexp_extract(name, "^\\p{Lu}['’]", 0), new)
+    return F.when(name == F.upper(name), F.upper(new)).otherwise(new)
+
+
 def _spread(m: Column, digits: Column) -> Column:
     """digits in the places of m's digits."""
     return F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, F.length(_only_digits(F.substring(m, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
 
 
-def _replacement(key: str, m: Column, kind: Column, attempts: Column | None) -> Column:
-    def draw(family: str, canon: Column, unit: Column | None = None) -> Column:
-        unit = F.lit(family) if unit is None else unit
-        attempt = F.lit(0) if attempts is None else F.coalesce(F.element_at(attempts, F.concat_ws("|", unit, canon)), F.lit(0))
-        return _drawn(key, family, unit, canon, attempt)
+def _gender(m: Column, overrides: Column | None) -> Column:
+    """Gender of a person's title or, where that tells none, of the same full name elsewhere."""
+    gender = _parts(m)[3]
+    if overrides is None:
+        return gender
+    found = F.element_at(overrides, F.concat(F.lit("gender|"), _full_name(m)))
+    return F.when(gender != "n", gender).when(found == 1, "m").when(found == 2, "f").otherwise("n")
+
+
+def _names(key: str, m: Column, overrides: Column | None) -> tuple[Column, Column]:
+    """Surrogates of a person's given name and surname, in their form."""
+    def draw(kind: Column, name: Column) -> Column:
+        attempt = F.lit(0) if overrides is None else F.coalesce(F.element_at(overrides, F.concat_ws("|", kind, F.lower(name))), F.lit(0))
+        return _dressed(name, _drawn(key, "name", kind, F.lower(name), attempt))
+
+    _, given, surname, _ = _parts(m)
+    return draw(F.concat(F.lit("given_"), _gender(m, overrides), _script(given)), given), draw(F.concat(F.lit("surname_"), _script(surname)), surname)
+
+
+def _replacement(key: str, m: Column, kind: Column, overrides: Column | None) -> Column:
+    """Surrogate of a match that is no person."""
+    def draw(family: str, canon: Column) -> Column:
+        attempt = F.lit(0) if overrides is None else F.coalesce(F.element_at(overrides, F.concat_ws("|", F.lit(family), canon)), F.lit(0))
+        return _drawn(key, family, F.lit(family), canon, attempt)
 
-    title, given, surname, gender = _parts(m)
     digits = _only_digits(m)
-    first = F.concat(draw("name", F.lower(given), F.concat(F.lit("given_"), gender, _script(given))), F.lit(" "))
-    person = F.concat(title, F.when(given != "", first).otherwise(""), draw("name", F.lower(surname), F.concat(F.lit("surname_"), _script(surname))))
     out = F.when(kind == "phone", _spread(m, draw("phone", digits))).when(kind == "card", _spread(m, draw("card", digits)))
     out = out.when(kind == "secret", F.concat(F.regexp_extract(m, "^" + _KEYWORD, 0), draw("secret", F.regexp_replace(m, "^" + _KEYWORD, ""))))
-    return out.when(kind == "email", draw("email", F.lower(m))).when(kind == "person", person).when(kind == "ip", draw("ip", m)).when(kind == "access_key", draw("access_key", m)).otherwise(m)
+    out = out.when(kind == "iban", _spaced(m, draw("iban", _account(m)))).when(kind == "ipv6", draw("ipv6", F.lower(m)))
+    return out.when(kind == "email", draw("email", F.lower(m))).when(kind == "ip", draw("ip", m)).when(kind == "access_key", draw("access_key", m)).otherwise(m)
+
+
+def _overrides(matches: DataFrame, key: str) -> DataFrame:
+    """(name, value): the attempt of each redrawn unit ("kind|canon"), and 1 (male) or 2 (female) for full names ("gender|name") that stand with a neutral title too."""
+    persons = matches.select(_full_name(F.col("m")).alias("full"), _parts(F.col("m"))[3].alias("gender")).where("full is not null")
+    gender = F.when(F.col("gender") != "n", F.col("gender"))
+    known = persons.groupBy("full").agg(F.min(gender).alias("g"), F.max(gender).alias("other"), F.bool_or(F.col("gender") == "n").alias("neutral"))
+    known = checkpointed(known.where("neutral and g = other").select("full", "g"))
+    named = matches.withColumn("full", _full_name(F.col("m"))).join(known, "full", "left")
+    units = checkpointed(named.select(F.explode(units_of(F.col("m"), F.col("g"))).alias("u")).select("u.kind", "u.canon").distinct())
+    again = _redrawn(units, key).select(F.concat_ws("|", "kind", "canon").alias("name"), "attempt")
+    return checkpointed(again.unionByName(known.select(F.concat(F.lit("gender|"), "full").alias("name"), F.when(F.col("g") == "m", 1).otherwise(2).alias("attempt"))))
 
 
-def with_surrogates(docs: DataFrame, key: str = "surrogates") -> DataFrame:
+def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     """docs with a `text` whose entities are replaced, and a count `n_<kind>` of each of KINDS.
 
     Different entities stay different and equal ones equal, in all of docs.
     Digits keep their places and separators, numbers their country code or
-    brand and check digit, names their gender (from the title) and script,
-    secrets their alphabet.  A text without entities, empty or null is left as
-    it is.  Numbers of card length that fail the check digit are left alone.
-    Repeated rows are treated alike.  A column of docs named like a count is
-    replaced.
+    brand and check digits, names their gender (from the title), script,
+    capitals and particle, secrets their alphabet.  Names found with a title
+    are replaced wherever they stand as words of the same text (a name written
+    like a capitalized word takes that along); counts are of titled ones.  A
+    given name under titles of both genders stands for two people; where bare,
+    it takes the female one's surrogate.  A text without entities, empty or
+    null is left as it is.  Numbers that fail a card's or account's check
+    digits are left alone.  Repeated rows are treated alike.  A column of docs
+    named like a count is replaced.
     """
-    found = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
-    units = docs.select(F.explode(found).alias("m")).select(F.explode(units_of(F.col("m"))).alias("u")).select("u.kind", "u.canon").distinct()
-    redrawn = checkpointed(_redrawn(checkpointed(units), key))
-    few = redrawn.limit(PLAN_UNITS + 1).collect()
-    attempts = None
-    rows = docs.select(F.struct("*").alias("_row"), "text")
+    table = checkpointed(docs.select(F.struct("*").alias("_row"), F.coalesce(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")).alias("_found")))
+    overridden = _overrides(checkpointed(table.select(F.explode("_found").alias("m")).distinct()), key)
+    few = overridden.limit(PLAN_UNITS + 1).collect()
+    overrides, rows = None, table
     if 0 < len(few) <= PLAN_UNITS:
-        attempts = F.create_map(*[F.lit(x) for r in few for x in (f"{r.kind}|{r.canon}", r.attempt)])
+        overrides = F.create_map(*[F.lit(x) for r in few for x in (r["name"], r["attempt"])])
     elif few:
-        keyed = [F.xxhash64("text").alias("_k1"), F.xxhash64(F.lit("second"), F.col("text")).alias("_k2")]
-        has = docs.select(*keyed, F.explode(found).alias("m")).select("_k1", "_k2", F.explode(units_of(F.col("m"))).alias("u")).select("_k1", "_k2", "u.*").distinct()
-        own = has.join(redrawn, ["kind", "canon"]).groupBy("_k1", "_k2").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("_attempts"))
-        rows = rows.select("*", *keyed).join(own, ["_k1", "_k2"], "left")
-        attempts = F.col("_attempts")
-    rows = rows.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
-    gaps = F.split("text", PATTERN, -1)
-    rows = rows.withColumn("_kinds", F.transform("_found", lambda m: F.struct(m.alias("m"), F.coalesce(kind_of(m), F.lit("")).alias("kind"))))
-    rows = rows.withColumn("_new", F.transform("_kinds", lambda x: _replacement(key, x["m"], x["kind"], attempts)))
-    text = F.when(F.size("_found") == 0, F.col("text")).otherwise(F.array_join(F.zip_with(gaps, "_new", lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), ""))
-    kinds = F.transform("_kinds", lambda x: x["kind"])
-    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+        ids = [F.xxhash64("_found").alias("_k1"), F.xxhash64(F.lit("second"), F.col("_found")).alias("_k2")]
+        each = table.where(F.size("_found") > 0).select(*ids, F.explode("_found").alias("m")).distinct()
+        unit_names = F.flatten(F.array(*(F.transform(units_of(F.col("m"), F.lit(g)), lambda u: F.concat_ws("|", u["kind"], u["canon"])) for g in "nmf")))
+        wanted = each.select("_k1", "_k2", F.explode(F.array_union(unit_names, F.array(F.coalesce(F.concat(F.lit("gender|"), _full_name(F.col("m"))), F.lit(""))))).alias("name")).distinct()
+        own = wanted.join(overridden, "name").groupBy("_k1", "_k2").agg(F.map_from_entries(F.collect_list(F.struct("name", "attempt"))).alias("_overrides"))
+        rows = rows.select("*", *ids).join(own, ["_k1", "_k2"], "left")
+        overrides = F.col("_overrides")
+    new = lambda m, kind: (lambda names: F.struct(m.alias("m"), kind.alias("kind"), F.when(kind != "person", _replacement(key, m, kind, overrides)).alias("new"), F.when(kind == "person", names[0]).alias("given"), F.when(kind == "person", names[1]).alias("surname")))(_names(key, m, overrides))
+    rows = rows.withColumn("_kinds", F.transform("_found", lambda m: F.coalesce(kind_of(m), F.lit(""))))
+    rows = rows.withColumn("_new", F.zip_with("_found", "_kinds", new))
+    pairs = F.flatten(F.transform(F.filter("_new", lambda x: x["kind"] == "person"), lambda x: (lambda p: F.array(F.struct(p[1].alias("name"), x["given"].alias("new")), F.struct(p[2].alias("name"), x["surname"].alias("new"))))(_parts(x["m"]))))
+    rows = rows.withColumn("_pairs", F.array_sort(F.array_distinct(F.filter(pairs, lambda x: x["name"] != ""))))
+    rows = rows.withColumn("_names", F.map_from_entries(F.filter("_pairs", lambda x, i: (i == 0) | (F.get("_pairs", i - 1)["name"] != x["name"]))))
+
+    def without_names(gap: Column) -> Column:
+        bare = F.transform(F.regexp_extract_all(gap, F.lit(_BARE), F.lit(0)), lambda w: F.coalesce(F.try_element_at("_names", w), w))
+        return F.array_join(F.zip_with(F.split(gap, _BARE, -1), bare, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
+
+    gaps = F.split("_row.text", PATTERN, -1)
+    gaps = F.when(F.size("_pairs") == 0, gaps).otherwise(F.transform(gaps, without_names))
+    written = F.transform("_new", lambda x: F.coalesce(x["new"], F.concat(_parts(x["m"])[0], F.when(_parts(x["m"])[1] != "", F.concat(x["given"], F.lit(" "))).otherwise(""), x["surname"])))
+    text = F.when(F.size("_found") == 0, F.col("_row.text")).otherwise(F.array_join(F.zip_with(gaps, written, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), ""))
+    counts = [(F.size("_kinds") - F.size(F.array_remove("_kinds", k))).cast("long").alias(f"n_{k}") for k in KINDS]
     names = {f"n_{k}" for k in KINDS}
     return rows.select(*(text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in names), *counts)

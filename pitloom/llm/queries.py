@@ -20,6 +20,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret that surrogates are drawn with: spark.pitloom.surrogateKey of the session, else a key of the query's own, for tables of no secrets."""
+    return spark.conf.get("spark.pitloom.surrogateKey", "public test tables")
+
+
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -45,7 +50,7 @@ def op5_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_private_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = private.with_surrogates(_table(spark, sf_dir, "documents"))
+    out = private.with_surrogates(_table(spark, sf_dir, "documents"), surrogate_key(spark))
     return out.select("doc_id", *(f"n_{k}" for k in private.KINDS), "text")
 
 

@@ -23,7 +23,7 @@ def test_surrogates(spark):
         "Mr Smith", None, "", "clean text, 12 of 34: 2024-01-02", "x" * 50000 + "@", "Mr. John Smith met",
     ]
     docs = spark.createDataFrame([(i, t, "en", "s", 0, "clash") for i, t in enumerate(texts)] * 2, DOCS)
-    out = private.with_surrogates(docs)
+    out = private.with_surrogates(docs, "key")
     assert out.columns[:6] == docs.columns
     got = {r.doc_id: r for r in out.collect()}
     assert out.count() == 24
@@ -47,7 +47,7 @@ def test_surrogates(spark):
     assert ws[5][-1] == "a" and ws[1][-1] != "a" and ws[9] not in ("Ivanova;",) and all("а" <= c.lower() <= "я" for c in ws[11].strip("."))
     assert got[11].text == " ".join(ws[:4]).replace(" and", "")
     assert got[0].n_email == 2 and got[2].n_card == 2 and got[5].n_person == 4
-    empty = private.with_surrogates(docs.limit(0))
+    empty = private.with_surrogates(docs.limit(0), "key")
     assert empty.count() == 0
 
 
@@ -56,7 +56,7 @@ def test_long_secrets_go_whole(spark):
     jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.SflKxwRJSMeKKF2QT4"
     texts = [f"token={same}XYZ1 end", f"token={same}XYZ2 end", "password: " + "q" * 140 + "7 end", f"token={jwt}. Then", f"secret={jwt} then", "api_key=c2VjcmV0MQ== end", f"mail {'l' * 70}@example.com end", "token=abc1... end"]
     docs = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in enumerate(texts)], DOCS)
-    out = {r.doc_id: r for r in private.with_surrogates(docs).collect()}
+    out = {r.doc_id: r for r in private.with_surrogates(docs, "key").collect()}
     got = {i: r.text for i, r in out.items()}
     assert [out[i].n_secret for i in range(8)] == [1, 1, 1, 1, 1, 1, 0, 0] and out[6].n_email == 1
     assert got[0] != got[1] and all(len(got[i]) == len(texts[i]) for i in range(6))
@@ -66,13 +66,49 @@ def test_long_secrets_go_whole(spark):
     assert "c2VjcmV0MQ" not in got[5] and got[5].endswith("== end") and got[7] == texts[7]
 
 
+@pytest.mark.parametrize("limit", [50, 0])
+def test_names_keep_their_surrogates(spark, monkeypatch, limit):
+    """A name has one surrogate under every title, where bare, and in every form."""
+    monkeypatch.setattr(private, "PLAN_UNITS", limit)
+    texts = [
+        "Mr. John Smith came. Later Smith left, and John Smith wrote; Smithson and john did not. Smith's hat.",
+        "Dr John Smith and Prof. Anna O'Neil; O'Neil's ANNA", "Mrs Anna O'Neil", "MR. JOHN SMITH", "Sra. García vive", "Smith stays where no title is.",
+        "Mr. Kim Lee, Mrs Kim Lee, Dr Kim Lee",
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.text for r in private.with_surrogates(docs, "key").collect()}
+    john, smith = got[0].split()[1], got[0].split()[2].rstrip(".")
+    assert got[0] == f"Mr. {john} {smith} came. Later {smith} left, and {john} {smith} wrote; Smithson and john did not. {smith}'s hat." and "Smith" != smith
+    anna, neil = got[2].split()[1:]
+    assert neil[:2] == "O'" and neil != "O'Neil" and anna[-1] == "a"
+    assert got[1] == f"Dr {john} {smith} and Prof. {anna} {neil}; {neil}'s ANNA"
+    assert got[3] == f"MR. {john.upper()} {smith.upper()}" and "García" not in got[4] and got[5] == texts[5]
+    kims = [x.split()[1] for x in got[6].split(", ")]
+    assert len(set(kims)) == 3 and "Kim" not in got[6]
+    assert {r.text for r in private.with_surrogates(docs, "other").collect()}.isdisjoint({got[i] for i in (0, 1, 2, 3, 4, 6)})
+
+
+def test_accounts_and_addresses(spark):
+    texts = ["IBAN DE89 3704 0044 0532 0130 00, GB29NWBK60161331926819 or DE89 3704 0044 0532 0130 01.", "At 2001:db8::8a2e:370:7334 at 12:30:45 a::b std::sort", "to john@müller.de now"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in enumerate(texts)], DOCS)
+    out = {r.doc_id: r for r in private.with_surrogates(docs, "key").collect()}
+    new = out[0].text
+    spaced, plain = new[5:32], new[34:56]
+    assert [i for i, c in enumerate(spaced) if c == " "] == [4, 9, 14, 19, 24] and new.endswith("or DE89 3704 0044 0532 0130 01.") and out[0].n_iban == 2
+    for old, account in (("DE89370400440532013000", spaced.replace(" ", "")), ("GB29NWBK60161331926819", plain)):
+        value = "".join(str(int(c, 36)) for c in account[4:] + account[:4])
+        assert int(value) % 97 == 1 and account[:2] == old[:2] and account != old and [c.isdigit() for c in account] == [c.isdigit() for c in old]
+    assert "8a2e" not in out[1].text and out[1].text.endswith(" at 12:30:45 a::b std::sort") and out[1].n_ipv6 == 1
+    assert "müller" not in out[2].text and out[2].n_email == 1
+
+
 @pytest.mark.parametrize("limit", [50, 0])
 def test_surrogates_redraw_collisions(spark, monkeypatch, limit):
     monkeypatch.setattr(private, "_LATIN", ["ba", "be"])
     monkeypatch.setattr(private, "PLAN_UNITS", limit)
     names = ["Abel", "Bright", "Cole", "Dunn", "Ever", "Frost", "Gale", "Hart", "Ives", "Jude"]
     docs = spark.createDataFrame([(i, f"Mr {n} saw Mr {names[0]}", "en", "s", 0, "x") for i, n in enumerate(names)], DOCS)
-    got = {r.doc_id: r.text.split() for r in private.with_surrogates(docs).collect()}
+    got = {r.doc_id: r.text.split() for r in private.with_surrogates(docs, "key").collect()}
     assert len({w[1] for w in got.values()}) == len(names)
     assert {w[4] for w in got.values()} == {got[0][1]}
 
