@@ -83,4 +83,48 @@ r(h, x, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), (
 SELECT page_id, host, path, h || x AS rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, x)
 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || x) DESC NULLS LAST) = 1"""
 
-ORACLE = {"op2_url_filter": _URL_SQL}
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
+#: Whole and part repetitions in the order of md5; the level of a water filling is the largest that any number of held sources gives.
+_MIX_SQL = f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+o AS (SELECT *, CAST(sum(source_size) OVER () - sum(3 * source_size) OVER p + 3 * source_size AS DOUBLE) / CAST(sum(w) OVER () - sum(w) OVER p + w AS DOUBLE) AS level FROM s WINDOW p AS (ORDER BY 3.0 * source_size / w, source ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT source, source_size, least(w * (SELECT max(level) FROM o), CAST(3 * source_size AS DOUBLE)) AS target FROM o),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(round(target) / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+r AS (SELECT doc_id, size, source_size, target, whole, CAST(round(target) AS BIGINT) - whole * source_size AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'null')), doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, rest - start)) AS BIGINT) AS taken FROM r"""
+
+_WINDOW_SQL = f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS ws FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i, unnest([md5(array_to_string(ws[j:j + 34], ' ')) for j in range(1, len(ws) - 33)]) AS h FROM d WHERE len(ws) >= 35),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM w),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM k, range(0, 35) AS t(j) WHERE n > 1),
+one AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM one ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id"""
+
+#: Runs of 1, 2, 4, ... lines that an earlier place holds; overlapping ones join.
+_LINE_SQL = r"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls, min(doc_id) OVER (PARTITION BY text) AS doc FROM documents),
+l AS (SELECT doc_id, doc, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM d WHERE text IS NOT NULL),
+n AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS real, sum(CAST(regexp_matches(line, '[^\x20\x09-\x0D]') AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM l),
+a AS (SELECT doc_id, list(line ORDER BY seq) AS ls FROM n WHERE real AND doc_id = doc GROUP BY doc_id),
+p AS (SELECT doc_id, ls, h, unnest(range(1, len(ls) - h + 2)) AS seq FROM a, (SELECT CAST(pow(2, i) AS BIGINT) AS h FROM range(0, 20) AS t(i)) WHERE len(ls) >= h),
+o AS (SELECT doc_id, seq, h, row_number() OVER (PARTITION BY h, md5(array_to_string(ls[seq:seq + h - 1], chr(10))) ORDER BY doc_id, seq) AS k FROM p),
+c AS (SELECT doc_id, seq, max(h) AS run FROM o WHERE k > 1 GROUP BY doc_id, seq),
+m AS (SELECT *, max(seq + run) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM c),
+g AS (SELECT *, sum(CASE WHEN past IS NULL OR seq >= past THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS g FROM m),
+r AS (SELECT doc_id, count(*) AS n_runs, max(len) AS longest FROM (SELECT doc_id, max(seq + run) - min(seq) AS len FROM g GROUP BY doc_id, g) GROUP BY doc_id),
+f AS (SELECT n.doc_id, n.doc, real, line, pos, real AND (n.doc_id <> n.doc OR c.seq IS NOT NULL) AS gone FROM n LEFT JOIN c ON n.doc_id = c.doc_id AND n.seq = c.seq AND real),
+t AS (SELECT doc_id, any_value(doc) AS doc, count(*) FILTER (real) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS text FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(t.text, '')) END AS kept_sha256,
+CAST(CASE WHEN t.doc <> d.doc_id THEN least(n_lines, 1) ELSE coalesce(n_runs, 0) END AS INTEGER) AS n_runs, CAST(CASE WHEN t.doc <> d.doc_id THEN n_lines ELSE coalesce(longest, 0) END AS INTEGER) AS longest_run
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN r ON d.doc_id = r.doc_id"""
+
+_LINK_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 2], ' ')) AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 90 * (x.n + y.n - k)),
+r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.id AS component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT x, min(y) AS id FROM r GROUP BY x) c ON d.doc_id = c.x"""
+
+ORACLE = {"op1_source_mixing": _MIX_SQL, "op2_url_filter": _URL_SQL, "op4_substring_dedup": _WINDOW_SQL, "op9_line_dedup": _LINE_SQL, "op10_jaccard_join": _LINK_SQL}
