@@ -116,7 +116,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     n = rows.count()
     want = min(SAMPLE_ROWS, max(64, SAMPLE_VALUES // sizes["d"]))
     share = min(1.0, 1.2 * want / n)
-    picked = rows.where(F.pmod(F.xxhash64("embedding"), 1_000_000) < int(share * 1_000_000)).select("embedding").limit(want)
+    picked = rows.where(F.pmod(F.xxhash64("embedding"), 1_000_000) < int(share * 1_000_000)).orderBy(F.xxhash64("embedding"), "embedding").select("embedding").limit(want)
     sample = np.array([r[0] for r in picked.collect()], np.float64).reshape(-1, sizes["d"])
     sample /= np.abs(sample).max(1, keepdims=True)
     mean, axes, radius = fit(sample / np.linalg.norm(sample, axis=1, keepdims=True), k)
