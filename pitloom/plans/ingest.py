@@ -54,7 +54,7 @@ def sc15_sentiment_export(spark, d):
 
 @query("""WITH m AS (SELECT DISTINCT upper(replace(p_brand, '#', '')) AS t FROM part WHERE p_size > 25), h AS (SELECT p_partkey, upper(replace(p_brand, '#', '')) AS t, p_name FROM part),
 c AS (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(substr(w, 2))), ' ') || ' Ltd' AS name FROM h)
-SELECT p_partkey, 'ticker' AS kind, t AS canonical, CAST(0.95 AS DOUBLE) AS confidence, CAST(4 AS INTEGER) AS start FROM h WHERE t IN (SELECT t FROM m) UNION ALL SELECT p_partkey, 'company', name, CAST(0.7 AS DOUBLE), CAST(length(t) + 15 AS INTEGER) FROM c JOIN h USING (p_partkey)""")
+SELECT p_partkey, 'ticker' AS kind, t AS canonical, CAST(0.95 AS DOUBLE) AS confidence, CAST(4 AS INTEGER) AS start FROM h WHERE t IN (SELECT t FROM m) UNION ALL SELECT p_partkey, 'company', name, CAST(0.7 AS DOUBLE), CAST(length(t) + 16 AS INTEGER) FROM c JOIN h USING (p_partkey)""")
 def f11_entities(spark, d):
     """Ticker tokens of a master list and names before 'Ltd'; one entity for each (kind, canonical name, place), that of most confidence."""
     part = table(spark, d, "part")

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions.stats import clip, next_business_day, normalized_ticker
 from ..operators.joins import asof_join, keep_last, pair_correlations, replace_by_key
+from ..operators.quantiles import exact_quantiles
 from ..sources.tables import bars, range_scan, table
 from .registry import BARS, RETURNS, day, query, rounded
 
@@ -65,15 +66,16 @@ def pf10_limit_by_std(spark, d):
 @query("WITH q AS (SELECT event_type, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM events GROUP BY 1) SELECT event_id, round(least(greatest(value, lo), hi), 6) AS value FROM events JOIN q USING (event_type)")
 def pf11_winsorize(spark, d):
     e = table(spark, d, "events").select("event_id", "event_type", "value")
-    q = e.groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
+    q = exact_quantiles(e, ["event_type"], F.col("value"), [0.05, 0.95])
     return e.join(q, "event_type").select("event_id", rounded(clip(F.col("value"), F.col("q")[0], F.col("q")[1])).alias("value"))
 
 
 @query("WITH m AS (SELECT event_type, quantile_cont(value, 0.5) AS med FROM events GROUP BY 1), a AS (SELECT event_type, med, quantile_cont(abs(value - med), 0.5) AS mad FROM events JOIN m USING (event_type) GROUP BY 1, 2) SELECT event_id, round(least(greatest(value, med - 1.5 * 1.4826 * mad), med + 1.5 * 1.4826 * mad), 6) AS value FROM events JOIN a USING (event_type)")
 def pf12_mad_clip(spark, d):
     e = table(spark, d, "events").select("event_id", "event_type", "value")
-    med = e.groupBy("event_type").agg(F.percentile("value", 0.5).alias("med"))
-    mad = e.join(med, "event_type").groupBy("event_type", "med").agg(F.percentile(F.abs(F.col("value") - F.col("med")), 0.5).alias("mad"))
+    med = exact_quantiles(e, ["event_type"], F.col("value"), [0.5]).select("event_type", F.col("q")[0].alias("med"))
+    off = exact_quantiles(e.join(med, "event_type"), ["event_type"], F.abs(F.col("value") - F.col("med")), [0.5]).select("event_type", F.col("q")[0].alias("mad"))
+    mad = med.join(off, "event_type")
     width = 1.5 * 1.4826 * F.col("mad")
     return e.join(mad, "event_type").select("event_id", rounded(clip(F.col("value"), F.col("med") - width, F.col("med") + width)).alias("value"))
 
@@ -109,7 +111,7 @@ def j1_outer_merge(spark, d):
 def j2_asof_join(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
     views = e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("last_view"), F.col("value").alias("view_value"))
-    out = asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, "user_id", "ts", "ts", ["last_view", "view_value"], "last_view")
+    out = asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, "user_id", "ts", "ts", ["last_view", "view_value"], "last_view", span_days=7)
     return out.select("event_id", "last_view", "view_value")
 
 
@@ -240,7 +242,7 @@ def a25_quality_counts(spark, d):
 @query("WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b FROM lineitem) SELECT count(*) AS outside FROM lineitem, q WHERE l_extendedprice < a - 0.2 * (b - a) OR l_extendedprice > b + 0.2 * (b - a)")
 def a27_iqr_outliers(spark, d):
     li = table(spark, d, "lineitem").select("l_extendedprice")
-    q = li.agg(F.percentile("l_extendedprice", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))  # one row
+    q = exact_quantiles(li, [], F.col("l_extendedprice"), [0.25, 0.75])  # one row
     x, a, b = F.col("l_extendedprice"), F.col("q")[0], F.col("q")[1]
     return li.join(F.broadcast(q)).where((x < a - 0.2 * (b - a)) | (x > b + 0.2 * (b - a))).agg(F.count(F.lit(1)).alias("outside"))
 

@@ -2,7 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from pitloom.operators.joins import asof_join, keep_last, replace_by_key
+from pitloom.operators.quantiles import exact_quantiles
 
 
 def d(n):
@@ -32,3 +37,29 @@ def test_replace_and_keep_last(spark):
     b = spark.createDataFrame([(2, "new"), (3, "w")], "k int, v string")
     assert sorted(map(tuple, replace_by_key(a, b, ["k"]).collect())) == [(1, "x"), (2, "new"), (3, "w")]
     assert sorted(map(tuple, keep_last(a, ["k"], ["v"]).collect())) == [(1, "x"), (2, "z")]
+
+
+@pytest.mark.parametrize("span", [1, 3, 400])
+def test_asof_join_in_spans(spark, span):
+    left = spark.createDataFrame([("a" if i % 3 else None, d(1 + i % 28), i) for i in range(60)] + [("a", None, 99)], "k string, t date, x int")
+    right = spark.createDataFrame([("a" if i % 2 else None, d(2 + i * 5 % 27), None if i % 4 == 1 else float(i), i % 3) for i in range(9)] + [("a", None, 7.0, 1)], "k string, at date, v double, n int")
+    whole = asof_join(left, right, "k", "t", "at", ["v"], "n").collect()
+    cut = asof_join(left, right, "k", "t", "at", ["v"], "n", span).collect()
+    assert sorted(map(str, whole)) == sorted(map(str, cut))
+    assert asof_join(left, right.limit(0), "k", "t", "at", ["v"], "n", span).where("v is null").count() == 61
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 40, 3000])
+def test_exact_quantiles(spark, n):
+    rng = np.random.default_rng(n)
+    probs = [0.0, 0.05, 0.5, 0.95, 1.0]
+    groups = {"smooth": rng.normal(size=n), "ties": rng.integers(0, 3, n).astype(float), "tail": np.exp(9 * rng.normal(size=n)), None: np.ones(n)}
+    rows = [(k, float(x)) for k, xs in groups.items() for x in xs] + [("smooth", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {r.k: r.q for r in exact_quantiles(df, ["k"], F.col("v"), probs).collect()}
+    assert set(got) == set(groups)
+    for k, xs in groups.items():
+        assert np.allclose(got[k], np.quantile(xs, probs), rtol=1e-12)
+    everything = exact_quantiles(df, [], F.col("v"), [0.5]).collect()
+    assert np.isclose(everything[0].q[0], np.median(np.concatenate(list(groups.values()))))
+    assert exact_quantiles(df.where("k = 'empty'"), ["k"], F.col("v"), probs).count() == 0
