@@ -89,13 +89,13 @@ _FAMILY = "CASE WHEN feature IN ('reversal', 'top', 'bottom') THEN 'price' ELSE
 s AS (SELECT feature, {_FAMILY} AS family, sign(avg(ic)) * (avg(CASE WHEN sign(ic) = sign(mean) THEN 1.0 ELSE 0 END) + abs(avg(ic) / stddev_samp(ic)) + abs(avg(ic))) AS w FROM m, keep WHERE list_contains(kept, feature) GROUP BY 1),
 w AS (SELECT feature, family, w / sum(abs(w)) OVER (PARTITION BY family) AS w FROM s),
 z AS (SELECT date, ticker, fwd, feature, (x - avg(x) OVER p) / nullif(stddev_samp(x) OVER p, 0) AS z FROM k WINDOW p AS (PARTITION BY date, feature)),
-c AS (SELECT date, ticker, family, max(fwd) AS fwd, sum(w * z) AS v FROM z JOIN w USING (feature) GROUP BY 1, 2, 3),
+c AS (SELECT date, ticker, family, max(fwd) AS fwd, round(sum(w * z), 9) AS v FROM z JOIN w USING (feature) GROUP BY 1, 2, 3),
 q AS (SELECT *, least(greatest((v - avg(v) OVER p) / nullif(stddev_samp(v) OVER p, 0), -6), 6) AS score FROM c WINDOW p AS (PARTITION BY date, family)),
 r AS (SELECT *, rank() OVER (PARTITION BY date, family ORDER BY score) AS a, rank() OVER (PARTITION BY date, family ORDER BY fwd) AS b, count(*) OVER (PARTITION BY date, family) AS n FROM q WHERE score IS NOT NULL),
 y AS (SELECT date, family, covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) AS ic, avg(CASE WHEN a > 0.8 * n THEN fwd END) - avg(CASE WHEN a <= 0.2 * n THEN fwd END) AS spread FROM r GROUP BY 1, 2 HAVING count(*) >= 10)
 SELECT family, count(*) AS weeks, round(avg(ic), 6) AS ic, round(avg(ic) / stddev_samp(ic), 5) AS ir, round(avg(spread), 6) AS spread FROM y GROUP BY 1""")
 def x14_families(spark, d):
-    """Features that pruning keeps, weighted by sign(mean IC) times stability, ratio and size of the IC, summed by family and scored by date."""
+    """Features that pruning keeps, weighted by sign(mean IC) times stability, ratio and size of the IC, summed by family and scored by date; sums are rounded, so that equal ones tie."""
     k = ranked(spark, d)
     ic = weekly_ic(k, "feature")
     m = ic.withColumn("mean", F.avg("ic").over(Window.partitionBy("feature")))
@@ -103,7 +103,7 @@ def x14_families(spark, d):
     s = m.groupBy("feature").agg((F.signum(F.avg("ic")) * (same + F.abs(F.avg("ic") / F.stddev_samp("ic")) + F.abs(F.avg("ic")))).alias("w"))
     w = s.join(pruned(k, ic).select(F.explode("kept").alias("feature")), "feature").withColumn("family", F.expr(_FAMILY))
     w = w.withColumn("w", F.col("w") / F.sum(F.abs("w")).over(Window.partitionBy("family")))
-    c = k.withColumn("z", zscore(F.col("x"), Window.partitionBy("date", "feature"))).join(w, "feature").groupBy("date", "ticker", "family").agg(F.max("fwd").alias("fwd"), F.sum(F.col("w") * F.col("z")).alias("v"))
+    c = k.withColumn("z", zscore(F.col("x"), Window.partitionBy("date", "feature"))).join(w, "feature").groupBy("date", "ticker", "family").agg(F.max("fwd").alias("fwd"), F.round(F.sum(F.col("w") * F.col("z")), 9).alias("v"))
     q = c.withColumn("score", clip(zscore(F.col("v"), Window.partitionBy("date", "family")), -6.0, 6.0)).where("score is not null")
     place = lambda x: F.rank().over(Window.partitionBy("date", "family").orderBy(x))
     r = q.withColumns({"a": place("score"), "b": place("fwd"), "n": F.count(F.lit(1)).over(Window.partitionBy("date", "family"))})
