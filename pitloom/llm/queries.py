@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, lines, mixing, neighbours, packing, private, quality, substring, urls
+from . import chat, divergence, exact_search, jaccard, lines, mixing, neighbours, packing, prefix_trie, private, quality, substring, urls
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -75,7 +75,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_url_filter, op3_quality_rules, op4_substring_dedup, op5_sequence_packing, op6_private_surrogates, op7_tool_calls, op8_nearest_vectors, op9_line_dedup, op10_jaccard_join)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt_turns(_table(spark, sf_dir, "conversations")))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.largest_products(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_url_filter, op3_quality_rules, op4_substring_dedup, op5_sequence_packing, op6_private_surrogates, op7_tool_calls, op8_nearest_vectors, op9_line_dedup, op10_jaccard_join, op11_prefix_trie, op12_source_divergence, op13_exact_search)}
 
 _URL_SQL = """WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
@@ -127,4 +139,36 @@ e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE
 r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.id AS component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT x, min(y) AS id FROM r GROUP BY x) c ON d.doc_id = c.x"""
 
-ORACLE = {"op1_source_mixing": _MIX_SQL, "op2_url_filter": _URL_SQL, "op4_substring_dedup": _WINDOW_SQL, "op9_line_dedup": _LINE_SQL, "op10_jaccard_join": _LINK_SQL}
+#: crc32 is worked out bit by bit; a prefix is named by the md5s of its turns.
+_TRIE_SQL = """WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS place FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
+  lambda acc, x: list_reduce(list_prepend(xor(acc, x), CAST(range(8) AS BIGINT[])), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))) % 6 AS h FROM t GROUP BY conv_id),
+w AS (SELECT c.*, least(h, coalesce((SELECT b.n FROM c b WHERE b.conv_id = c.base), 0)) AS taken FROM c),
+r AS (SELECT w.conv_id, place, role, text FROM w JOIN t ON t.conv_id = w.base AND place <= taken UNION ALL SELECT w.conv_id, place - h + taken, role, text FROM w JOIN t ON t.conv_id = w.conv_id AND place > h),
+l AS (SELECT c.conv_id, count(place) AS n, list(md5(role) || md5(text) ORDER BY place) AS k, list(length(text) ORDER BY place) AS chars FROM c LEFT JOIN r ON c.conv_id = r.conv_id GROUP BY c.conv_id),
+d AS (SELECT *, unnest(range(0, n + 1)) AS depth FROM l),
+p AS (SELECT conv_id, n, depth, array_to_string(k[1:depth], ',') AS name, array_to_string(k[1:depth - 1], ',') AS up, chars[depth] AS chars FROM d),
+v AS (SELECT depth, name, any_value(up) AS up, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM p GROUP BY depth, name),
+kids AS (SELECT up, depth - 1 AS depth, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY ALL),
+below AS (SELECT p.depth, p.name, count(*) FILTER (n_children IS NULL) AS n_leaves, sum(CASE WHEN v.depth > 0 THEN (n_convs - 1) * v.chars ELSE 0 END) AS saved_tokens FROM v JOIN p ON p.conv_id = v.conv_id AND p.depth <= v.depth LEFT JOIN kids ON kids.up = v.name AND kids.depth = v.depth GROUP BY ALL)
+SELECT v.conv_id, v.depth, o.conv_id AS parent_conv_id, v.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256 FROM v JOIN below USING (depth, name) LEFT JOIN kids ON kids.up = v.name AND kids.depth = v.depth LEFT JOIN v o ON v.depth > 0 AND o.depth = v.depth - 1 AND o.name = v.up"""
+
+_DIVERGENCE_SQL = r"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+x AS (SELECT lang, source, k, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term FROM x GROUP BY lang, term HAVING count(DISTINCT k) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM x SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT lang, source, coalesce((SELECT sum(n) FROM c WHERE c.lang = d.lang AND c.source = d.source), 0) AS total FROM d GROUP BY lang, source),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n, 1 + CAST(1000000000 * CAST(coalesce(n, 0) + 5 AS HUGEINT) // CAST(total + 5 * v AS HUGEINT) AS BIGINT) AS p FROM g JOIN kept ON g.lang = kept.lang JOIN v ON g.lang = v.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+q AS (SELECT lang, term, 1 + CAST(1000000000 * CAST(sum(n) + 5 AS HUGEINT) // CAST((SELECT sum(n) FROM c WHERE c.lang = p.lang) + 5 * (SELECT v FROM v WHERE v.lang = p.lang) AS HUGEINT) AS BIGINT) AS q FROM p GROUP BY lang, term),
+two AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN two ON two.lang = a.lang AND two.source = a.source AND two.item = b.source),
+top AS (SELECT p.lang, source, 'term' AS part, p.term AS item, p - q AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM top))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50"""
+
+_PRODUCT_SQL = """WITH e AS (SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
+
+ORACLE = {"op1_source_mixing": _MIX_SQL, "op2_url_filter": _URL_SQL, "op4_substring_dedup": _WINDOW_SQL, "op9_line_dedup": _LINE_SQL, "op10_jaccard_join": _LINK_SQL, "op11_prefix_trie": _TRIE_SQL, "op12_source_divergence": _DIVERGENCE_SQL, "op13_exact_search": _PRODUCT_SQL}
