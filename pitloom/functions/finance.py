@@ -1,4 +1,4 @@
-"""Closed forms as column expressions: normal distribution, smoothing, options, impact, valuation."""
+"""Closed forms as column expressions: normal distribution, options, impact, valuation."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .stats import by, since
-
 
 def normal_cdf(x: Column) -> Column:
     """By a rational approximation of the error function, within 1e-7."""
@@ -22,16 +20,6 @@ def normal_density(x: Column) -> Column:
     return F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
 
 
-def smoothed(x: Column, alpha: float, key: str, order: str = "date") -> Column:
-    """Recursive smoothing s = alpha * x + (1 - alpha) * s, from the first row on, as one running sum.
-
-    Weights are scaled by the row's number, so a series may have some
-    700 / -ln(1 - alpha) rows; x has no nulls.
-    """
-    q, n = 1 - alpha, F.row_number().over(by(key, order))
-    return F.pow(F.lit(q), n) * (alpha * F.sum(x * F.pow(F.lit(1 / q), n)).over(since(key, order)) + F.first(x).over(since(key, order)))
-
-
 def greeks(spot: Column, strike: Column, years: Column, vol: Column, rate: float) -> dict[str, Column]:
     """Delta, gamma, vega and theta of a call."""
     root = vol * F.sqrt(years)

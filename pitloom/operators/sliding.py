@@ -94,7 +94,7 @@ def sliding_order(df: DataFrame, key: str, order: str, value: str, rows: int, pr
     dealt = numbered.select(F.struct(*df.columns).alias("_row"), F.col(key).alias("_key"), "_place", F.col(value).cast("double").alias("_v"), F.explode(near).alias("_block"))
     schema = T.StructType([dealt.schema["_row"], T.StructField("n", T.LongType()), T.StructField("below", T.LongType()), T.StructField("quantiles", T.ArrayType(T.DoubleType()))])
 
-    def run(keys, table: pa.Table) -> pa.Table:
+    def run(keys, table):
         table = table.sort_by("_place")
         place = table.column("_place").to_numpy()
         x = table.column("_v").to_numpy().astype(np.float64)  # null becomes NaN

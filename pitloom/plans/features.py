@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.finance import greeks, smoothed
+from ..functions.finance import greeks
 from ..functions.stats import average_rank, by, change, clip, correlation, frame, guarded, since, zscore
 from ..sources.tables import bars, table
 from .registry import BARS, RETURNS, day, query, rounded
@@ -25,26 +25,6 @@ def _out(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.select(day("date").alias("date"), "ticker", *(rounded(n, digits).alias(n) for n in names))
 
 
-def _smooth_sql(x: str, alpha: float) -> str:
-    return f"(pow({1 - alpha}, n) * ({alpha} * sum(({x}) * pow({1 / (1 - alpha)}, n)) OVER {_W} + first_value({x}) OVER {_W}))"
-
-
-_N = BARS + ", nb AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n FROM bars)"
-_NR = RETURNS + ", nb AS (SELECT *, coalesce(r, 0) AS x, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n FROM rets)"
-
-
-@query(f"WITH {_N} SELECT {_DATE}, ticker, CASE WHEN n >= 12 THEN round({_smooth_sql('close', 2 / 13)}, 5) END AS ema FROM nb")
-def w15_moving_average(spark, d):
-    b = bars(spark, d)
-    return b.select(day("date").alias("date"), "ticker", rounded(F.when(F.row_number().over(by("ticker")) >= 12, smoothed(F.col("close"), 2 / 13, "ticker")), 5).alias("ema"))
-
-
-@query(f"WITH {_NR} SELECT {_DATE}, ticker, round(sqrt({_smooth_sql('x * x', 0.06)} * 252), 5) AS vol FROM nb")
-def w16_smoothed_volatility(spark, d):
-    r = returns(spark, d).withColumn("x", F.coalesce("r", F.lit(0.0)))
-    return r.select(day("date").alias("date"), "ticker", rounded(F.sqrt(smoothed(F.col("x") * F.col("x"), 0.06, "ticker") * 252), 5).alias("vol"))
-
-
 @query(f"WITH {BARS} SELECT {_DATE}, ticker, round((close - avg(close) OVER w) / nullif(stddev_samp(close) OVER w, 0), 6) AS z FROM bars WINDOW w AS {_W}")
 def w4_expanding_z(spark, d):
     return _out(bars(spark, d).withColumn("z", zscore(F.col("close"), since("ticker"))), "z")
@@ -83,37 +63,6 @@ def w12_dense_rank(spark, d):
     return s.select(day("date").alias("date"), "sector", F.dense_rank().over(Window.partitionBy("date").orderBy(F.desc("level"))).cast("long").alias("place"))
 
 
-@query(f"WITH {_N}, e AS (SELECT *, {_smooth_sql('close', 2 / 21)} AS ema20, {_smooth_sql('close', 2 / 51)} AS ema50, {_smooth_sql('close', 2 / 13)} AS e12, {_smooth_sql('close', 2 / 27)} AS e26 FROM nb) SELECT {_DATE}, ticker, round(ema20, 4) AS ema20, round(e12 - e26, 4) AS macd, round(close / lag(close, 10) OVER w - 1, 6) AS roc, round(4 * stddev_samp(close) OVER (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING) / avg(close) OVER (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING), 6) AS band, round(close / max(high) OVER (PARTITION BY ticker ORDER BY date ROWS 51 PRECEDING), 6) AS from_high, round(volume / avg(volume) OVER (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING), 6) AS surge, CAST(ema20 > ema50 AS INTEGER) AS trend FROM e WINDOW w AS {_W}")
-def w17_indicators(spark, d):
-    c, w = F.col("close"), frame("ticker", 20)
-    e = bars(spark, d).withColumns({"ema20": smoothed(c, 2 / 21, "ticker"), "ema50": smoothed(c, 2 / 51, "ticker"), "macd": smoothed(c, 2 / 13, "ticker") - smoothed(c, 2 / 27, "ticker"), "roc": change(c, "ticker", 10), "band": 4 * F.stddev_samp(c).over(w) / F.avg(c).over(w), "from_high": c / F.max("high").over(frame("ticker", 52)), "surge": F.col("volume") / F.avg("volume").over(w)})
-    return e.select(day("date").alias("date"), "ticker", rounded("ema20", 4).alias("ema20"), rounded("macd", 4).alias("macd"), *(rounded(x).alias(x) for x in ("roc", "band", "from_high", "surge")), (F.col("ema20") > F.col("ema50")).cast("int").alias("trend"))
-
-
-@query(f"WITH {BARS}, c AS (SELECT *, close - lag(close) OVER w AS ch, greatest(high, lag(close) OVER w) - least(low, lag(close) OVER w) AS tr, sign(close - lag(close) OVER w) * volume AS sv FROM bars WINDOW w AS {_W}), s AS (SELECT *, sum(greatest(ch, 0)) OVER v AS up, sum(greatest(-ch, 0)) OVER v AS down, avg(tr) OVER v AS atr, max(high) OVER v AS hh, min(low) OVER v AS ll, sum(coalesce(sv, 0)) OVER {_W} AS obv, count(ch) OVER v AS k FROM c WINDOW v AS {_rows(14)}) SELECT {_DATE}, ticker, round(100 * up / nullif(up + down, 0), 4) AS rsi, round(atr, 5) AS atr, round((close - ll) / nullif(hh - ll, 0), 6) AS stochastic, round(obv, 2) AS obv FROM s WHERE k >= 14")
-def w18_simple_indicators(spark, d):
-    past, v = F.lag("close").over(by("ticker")), frame("ticker", 14)
-    c = bars(spark, d).withColumns({"ch": F.col("close") - past, "tr": F.greatest("high", past) - F.least("low", past), "sv": F.signum(F.col("close") - past) * F.col("volume")})
-    up, down = F.sum(F.greatest("ch", F.lit(0.0))).over(v), F.sum(F.greatest(-F.col("ch"), F.lit(0.0))).over(v)
-    s = c.withColumns({"rsi": 100 * F.try_divide(up, up + down), "atr": F.avg("tr").over(v), "stochastic": F.try_divide(F.col("close") - F.min("low").over(v), F.max("high").over(v) - F.min("low").over(v)), "obv": F.sum(F.coalesce("sv", F.lit(0.0))).over(since("ticker")), "k": F.count("ch").over(v)}).where("k >= 14")
-    return s.select(day("date").alias("date"), "ticker", rounded("rsi", 4).alias("rsi"), rounded("atr", 5).alias("atr"), rounded("stochastic").alias("stochastic"), rounded("obv", 2).alias("obv"))
-
-
-@query(f"WITH {RETURNS}, v AS (SELECT date, ticker, CASE WHEN count(r) OVER w >= 10 THEN stddev_samp(r) OVER w END AS v FROM rets WINDOW w AS {_rows(13)}), q AS (SELECT *, count(v) OVER p AS n, avg(v) OVER p AS mean, stddev_samp(v) OVER p AS sd FROM v WINDOW p AS {_rows(104)}) SELECT {_DATE}, ticker, CASE WHEN v > mean + sd THEN 'high' WHEN v < mean - sd THEN 'low' ELSE 'normal' END AS regime FROM q WHERE n >= 20")
-def w20_volatility_regime(spark, d):
-    w, p = frame("ticker", 13), frame("ticker", 104)
-    v = returns(spark, d).withColumn("v", guarded(F.stddev_samp("r").over(w), F.col("r"), w, 10)).withColumns({"n": F.count("v").over(p), "mean": F.avg("v").over(p), "sd": F.stddev_samp("v").over(p)}).where("n >= 20")
-    return v.select(day("date").alias("date"), "ticker", F.when(F.col("v") > F.col("mean") + F.col("sd"), "high").when(F.col("v") < F.col("mean") - F.col("sd"), "low").otherwise("normal").alias("regime"))
-
-
-@query(f"WITH {BARS}, a AS (SELECT date, ticker, CASE WHEN count(*) OVER s >= 15 THEN avg(close * volume) OVER s END AS a21, CASE WHEN count(*) OVER l >= 30 THEN avg(close * volume) OVER l END AS a63 FROM bars WINDOW s AS {_rows(21)}, l AS {_rows(63)}) SELECT {_DATE}, ticker, round(coalesce(a63, a21), 2) AS adv, CASE WHEN coalesce(a63, a21) IS NULL THEN 'unknown' WHEN coalesce(a63, a21) > 300000 THEN 'deep' ELSE 'thin' END AS tier FROM a")
-def w21_volume_tiers(spark, d):
-    worth, s, w = F.col("close") * F.col("volume"), frame("ticker", 21), frame("ticker", 63)
-    adv = F.coalesce(guarded(F.avg(worth).over(w), worth, w, 30), guarded(F.avg(worth).over(s), worth, s, 15))
-    a = bars(spark, d).withColumn("adv", adv)
-    return a.select(day("date").alias("date"), "ticker", rounded("adv", 2).alias("adv"), F.when(F.col("adv").isNull(), "unknown").when(F.col("adv") > 300000, "deep").otherwise("thin").alias("tier"))
-
-
 @query("WITH g AS (SELECT user_id, CAST(ts AS DATE) AS dt, count(*) FILTER (event_type = 'error') AS e, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, CAST(dt AS VARCHAR) AS date, CAST(max(e) OVER (PARTITION BY user_id ORDER BY dt RANGE BETWEEN INTERVAL 4 DAY PRECEDING AND CURRENT ROW) > 0 AS INTEGER) AS recent, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY dt RANGE BETWEEN INTERVAL 9 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS n10 FROM g")
 def w24_trailing_flags(spark, d):
     """By ranges of days, so missing days need no rows."""
@@ -362,13 +311,6 @@ def x17_market_sentiment(spark, d):
     return k.select(day("dt").alias("date"), rounded(zscore(F.col("v"), w.rowsBetween(-6, 0)), 5).alias("z"), rounded(F.col("v") - F.lag("v", 3).over(w), 5).alias("momentum"))
 
 
-@query("WITH d AS (SELECT user_id, CAST(ts AS DATE) AS dt, count(*) AS n, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS bad, avg(value) AS v FROM events GROUP BY 1, 2) SELECT user_id, CAST(dt AS VARCHAR) AS date, CAST(bad AS INTEGER) AS bad, round(avg(v) OVER (PARTITION BY user_id ORDER BY dt ROWS 4 PRECEDING), 5) AS mean5, CAST(n > 2 * avg(n) OVER (PARTITION BY user_id ORDER BY dt ROWS 9 PRECEDING) AS INTEGER) AS spike FROM d")
-def x18_news_features(spark, d):
-    g = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("dt")).agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("bad"), F.avg("value").alias("v"))
-    w = Window.partitionBy("user_id").orderBy("dt")
-    return g.select("user_id", day("dt").alias("date"), "bad", rounded(F.avg("v").over(w.rowsBetween(-4, 0)), 5).alias("mean5"), (F.col("n") > 2 * F.avg("n").over(w.rowsBetween(-9, 0))).cast("int").alias("spike"))
-
-
 @query("WITH m AS (SELECT last_day(o_orderdate) AS m, o_orderpriority AS k, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2), c AS (SELECT *, v / lag(v) OVER w - 1 AS mom, v / lag(v, 12) OVER w - 1 AS yoy FROM m WINDOW w AS (PARTITION BY k ORDER BY m)) SELECT CAST(m AS VARCHAR) AS month, k, round(mom, 6) AS mom, round(yoy, 6) AS yoy, round(avg(mom) OVER (PARTITION BY k ORDER BY m ROWS 2 PRECEDING), 6) AS trend FROM c")
 def x20_macro_activity(spark, d):
     w = Window.partitionBy("k").orderBy("m")

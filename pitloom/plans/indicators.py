@@ -103,7 +103,7 @@ def technical_indicators(b: DataFrame) -> DataFrame:
     return e.withColumns({"breakout_strength": c / F.col("high_52w"), "volume_surge": F.col("volume") / F.col("vol_avg"), "trend_regime": F.coalesce(in_order, F.lit(False)).cast("int")})
 
 
-_INDICATORS = {"ema20": 4, "ema50": 4, "ema200": 4, "adx": 4, "rsi": 4, "macd": 4, "roc": 4, "atr": 4, "bb_width": 6, "high_52w": 4, "breakout_strength": 6, "volume_surge": 6}
+_INDICATORS = {"ema20": 4, "ema50": 4, "ema200": 4, "adx": 4, "rsi": 4, "macd": 4, "roc": 4, "atr": 4, "bb_width": 6, "high_52w": 8, "breakout_strength": 6, "volume_surge": 6}
 
 
 @query(f"""WITH {BARS}, {_MOVES}, e AS (SELECT b.ticker, b.date, b.n, {', '.join(f"{_span_sql('a.close', k)} AS e{k}" for k in (12, 20, 26, 50, 200))}, {_ema_sql('a.gain', 1 / 14)} AS rise, {_ema_sql('a.fall', 1 / 14)} AS drop,
@@ -111,7 +111,7 @@ _INDICATORS = {"ema20": 4, "ema50": 4, "ema200": 4, "adx": 4, "rsi": 4, "macd":
 x AS (SELECT ticker, n - 13 AS k, coalesce(100 * abs(w_up - w_down) / nullif(w_up + w_down, 0), 0) AS dx FROM e WHERE n >= 14), y AS (SELECT b.ticker, b.k + 13 AS n, {_wilder_sql('a.dx', 14, 'k')} AS adx FROM x b JOIN x a ON a.ticker = b.ticker AND a.k <= b.k WHERE b.k >= 14 GROUP BY ALL),
 f AS (SELECT e.*, close, volume, adx AS a, CASE WHEN e.n >= 20 THEN e20 END AS ema20, CASE WHEN e.n >= 50 THEN e50 END AS ema50, CASE WHEN e.n >= 200 THEN e200 END AS ema200, lag(close, 10) OVER w AS c10, stddev_pop(close) OVER (w ROWS 19 PRECEDING) AS sd, max(close) OVER (w ROWS 251 PRECEDING) AS top, avg(volume) OVER (w ROWS 49 PRECEDING) AS va FROM e JOIN m USING (ticker, date) LEFT JOIN y ON y.ticker = e.ticker AND y.n = e.n WINDOW w AS (PARTITION BY e.ticker ORDER BY date))
 SELECT {_DATE}, ticker, round(ema20, 4) AS ema20, round(ema50, 4) AS ema50, round(ema200, 4) AS ema200, round(a, 4) AS adx, CASE WHEN n >= 14 THEN round(CASE WHEN drop = 0 THEN 100 ELSE 100 - 100 / (1 + rise / drop) END, 4) END AS rsi, CASE WHEN n >= 26 THEN round(e12 - e26, 4) END AS macd, round(100 * (close / c10 - 1), 4) AS roc, CASE WHEN n >= 14 THEN round(w_tr, 4) END AS atr,
-CASE WHEN n >= 20 THEN round(4 * sd / close, 6) END AS bb_width, CASE WHEN n >= 252 THEN round(top, 4) END AS high_52w, CASE WHEN n >= 252 THEN round(close / top, 6) END AS breakout_strength, CASE WHEN n >= 50 THEN round(volume / va, 6) END AS volume_surge, CAST(coalesce(ema20 > ema50 AND ema50 > ema200 AND a > 20, false) AS INTEGER) AS trend_regime FROM f""")
+CASE WHEN n >= 20 THEN round(4 * sd / close, 6) END AS bb_width, CASE WHEN n >= 252 THEN round(top, 8) END AS high_52w, CASE WHEN n >= 252 THEN round(close / top, 6) END AS breakout_strength, CASE WHEN n >= 50 THEN round(volume / va, 6) END AS volume_surge, CAST(coalesce(ema20 > ema50 AND ema50 > ema200 AND a > 20, false) AS INTEGER) AS trend_regime FROM f""")
 def w17_indicators(spark, d):
     t = technical_indicators(bars(spark, d))
     return t.select(day("date").alias("date"), "ticker", *(rounded(c, k).alias(c) for c, k in _INDICATORS.items()), "trend_regime")
@@ -200,7 +200,7 @@ def w21_volume_tiers(spark, d):
 
 @query(f"""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS dt, count(*) AS n, count(*) FILTER (event_type = 'error') AS bad, count(*) FILTER (event_type = 'purchase') AS good, avg(value) AS v, row_number() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE)) AS k FROM events GROUP BY 1, 2),
 e AS (SELECT b.user_id, b.dt, {_span_sql('a.v', 5).replace('.n', '.k')} - {_span_sql('a.v', 20).replace('.n', '.k')} AS m FROM d b JOIN d a ON a.user_id = b.user_id AND a.k <= b.k GROUP BY ALL)
-SELECT user_id, CAST(dt AS VARCHAR) AS date, CAST(bad > good AS INTEGER) AS negative, CAST(good > bad AS INTEGER) AS positive, round(avg(v) OVER (w ROWS 4 PRECEDING), 5) AS mean5, round(v - lag(v, 5) OVER w, 5) AS momentum, round(n / avg(n) OVER (w ROWS 19 PRECEDING), 5) AS spike, round(m, 5) AS narrative, coalesce(n - lag(n) OVER w, 0) AS drift FROM d JOIN e USING (user_id, dt) WINDOW w AS (PARTITION BY user_id ORDER BY dt)""")
+SELECT user_id, CAST(dt AS VARCHAR) AS date, CAST(bad > good AS INTEGER) AS negative, CAST(good > bad AS INTEGER) AS positive, round(avg(v) OVER (w ROWS 4 PRECEDING), 8) AS mean5, round(v - lag(v, 5) OVER w, 8) AS momentum, round(n / avg(n) OVER (w ROWS 19 PRECEDING), 8) AS spike, round(m, 5) AS narrative, coalesce(n - lag(n) OVER w, 0) AS drift FROM d JOIN e USING (user_id, dt) WINDOW w AS (PARTITION BY user_id ORDER BY dt)""")
 def x18_news_features(spark, d):
     """A day's flags by what prevails, 5-day mean and change, volume against 20 days, and the gap of two smoothed means."""
     kind = lambda k: F.count_if(F.col("event_type") == k)
@@ -208,4 +208,4 @@ def x18_news_features(spark, d):
     w = by("user_id", "dt")
     g = g.withColumns({"mean5": F.avg("v").over(w.rowsBetween(-4, 0)), "momentum": F.col("v") - F.lag("v", 5).over(w), "spike": F.col("n") / F.avg("n").over(w.rowsBetween(-19, 0)), "drift": F.coalesce(F.col("n") - F.lag("n").over(w), F.lit(0).cast("long"))})
     e = recursive(g, "user_id", "dt", {"fast": span(F.col("v"), 5), "slow": span(F.col("v"), 20)})
-    return e.select("user_id", day("dt").alias("date"), (F.col("bad") > F.col("good")).cast("int").alias("negative"), (F.col("good") > F.col("bad")).cast("int").alias("positive"), *(rounded(c, 5).alias(c) for c in ("mean5", "momentum", "spike")), rounded(F.col("fast") - F.col("slow"), 5).alias("narrative"), "drift")
+    return e.select("user_id", day("dt").alias("date"), (F.col("bad") > F.col("good")).cast("int").alias("negative"), (F.col("good") > F.col("bad")).cast("int").alias("positive"), *(rounded(c, 8).alias(c) for c in ("mean5", "momentum", "spike")), rounded(F.col("fast") - F.col("slow"), 5).alias("narrative"), "drift")

@@ -84,13 +84,6 @@ def w14_drawdown_episodes(spark, d):
     return out.where("weeks > 0").drop("g")
 
 
-@query(f"WITH {BARS}, l AS (SELECT *, list(close) OVER w AS c, (close - min(close) OVER w) / nullif(max(close) OVER w - min(close) OVER w, 0) AS rk FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 51 PRECEDING)) SELECT {_DATE}, ticker, round(rk, 6) AS rank, round(len(list_filter(c, lambda x: x < close)) * 1.0 / len(c), 6) AS percentile FROM l WHERE len(c) >= 20")
-def w19_range_rank(spark, d):
-    c, w = F.col("close"), frame("ticker", 52)
-    b = bars(spark, d).withColumns({"rank": F.try_divide(c - F.min(c).over(w), F.max(c).over(w) - F.min(c).over(w)), "c": F.collect_list(c).over(w)}).where(F.size("c") >= 20)
-    return _out(b.withColumn("percentile", F.size(F.filter("c", lambda x: x < c)) / F.size("c")), "rank", "percentile")
-
-
 @query(f"WITH {BARS} SELECT {_DATE}, ticker, round(last_value(CASE WHEN volume > 150 THEN close END IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date), 6) AS filled FROM bars")
 def w22_forward_fill(spark, d):
     return _out(bars(spark, d).withColumn("filled", F.last(F.when(F.col("volume") > 150, F.col("close")), ignorenulls=True).over(since("ticker"))), "filled")
