@@ -28,6 +28,7 @@ from pyspark.sql.window import Window
 from .ranks import numbered
 from .session import checkpointed, forget
 from .transducer import Transducer
+from .words import CHUNK_BYTES, texts
 
 #: Terms of the transducers that tasks hold at a time: some ten MB.
 TERMS = 262_144
@@ -57,10 +58,20 @@ def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "term", "n"])
 
     for batch in batches:
+        size = 0
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
-            held.setdefault(lang, Counter()).update(set(text.as_py().translate(_TRANSLATED).split()))
-        if sum(map(len, held.values())) > HELD:
-            yield given()
+            letters, at, seen = text.as_py().translate(_TRANSLATED), 0, set()
+            while at < len(letters):  # a very long text is cut where no term is
+                end = letters.find(b" ", at + CHUNK_BYTES)
+                end = len(letters) if end < 0 else end
+                seen.update(letters[at:end].split())
+                at = end
+            held.setdefault(lang, Counter()).update(seen)
+            size += len(letters)
+            if size > CHUNK_BYTES:
+                size = 0
+                if sum(map(len, held.values())) > HELD:
+                    yield given()
     if held:
         yield given()
 
@@ -75,12 +86,21 @@ def _shipped(terms: DataFrame, lang: str) -> DataFrame:
     return terms.groupBy(lang).applyInPandas(build, "lang string, first long, blob binary")
 
 
-def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes of non-null texts, and each term's document, start and length."""
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
-    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    edges, text = offsets - offsets[0], _LETTER[raw]
+def _pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, lower-cased bytes, offsets) of groups of non-null texts; what separates terms is 0, and a very long text is cut there."""
+    for row, _, raw, offsets in texts(column):
+        text, at = _LETTER[raw], 0
+        while len(offsets) == 2 and len(text) - at > 2 * CHUNK_BYTES:
+            end = at + CHUNK_BYTES
+            while end < len(text) and text[end]:
+                end += 1
+            yield row, text[at:end], np.array([0, end - at])
+            at = end
+        yield row, text[at:], offsets - at if len(offsets) > 2 else np.array([0, len(text) - at])
+
+
+def _tokens(text: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each term's document, start and length."""
     inside = np.zeros(len(text) + 1, bool)
     inside[1:] = text > 0
     new = inside[1:] & ~inside[:-1]
@@ -90,7 +110,7 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     gap = np.flatnonzero(~inside[1:])
     ends = np.append(gap, len(text))[np.searchsorted(gap, starts)]
     doc = np.searchsorted(edges, starts, "right") - 1
-    return text, doc, starts, np.minimum(ends, edges[doc + 1]) - starts
+    return doc, starts, np.minimum(ends, edges[doc + 1]) - starts
 
 
 def _counted(docs: DataFrame, shipped: list) -> DataFrame:
@@ -109,22 +129,31 @@ def _counted(docs: DataFrame, shipped: list) -> DataFrame:
             first = np.array([machines[x[0]][0] if x[0] in machines else 0 for x in names], np.int64)
             return pa.RecordBatch.from_arrays([lang, source, pa.array(first[group] + keys % (2 * TERMS)), pa.array(counts)], names=["lang", "source", "ordinal", "n"])
 
+        def merged(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            new, n = np.unique(np.concatenate(found), return_counts=True)
+            both, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            total = np.zeros(len(both), np.int64)
+            np.add.at(total, where, np.concatenate([counts, n]))
+            return both, total
+
         for batch in batches:
-            text, doc, starts, lengths = _tokens(batch.column(2))
-            langs = batch.column(0).to_pylist()
+            langs = np.array(batch.column(0).to_pylist(), object)
             group = np.array([groups.setdefault(x, len(groups)) for x in zip(langs, batch.column(1).to_pylist())])
-            found = []
-            for lang in set(langs) & set(machines):
-                mine = np.flatnonzero(np.array([x == lang for x in langs])[doc])
-                ordinals = machines[lang][1].ordinals(text, starts[mine], lengths[mine])
-                kept = ordinals >= 0
-                found.append(group[doc[mine[kept]]] * (2 * TERMS) + ordinals[kept])
+            found, size = [], 0
+            for row, text, edges in _pieces(batch.column(2)):
+                doc, starts, lengths = _tokens(text, edges)
+                mine = langs[row : row + len(edges) - 1]
+                for lang in set(mine) & set(machines):
+                    those = np.flatnonzero((mine == lang)[doc])
+                    ordinals = machines[lang][1].ordinals(text, starts[those], lengths[those])
+                    kept = ordinals >= 0
+                    found.append(group[row + doc[those[kept]]] * (2 * TERMS) + ordinals[kept])
+                    size += len(found[-1])
+                if size > HELD:
+                    keys, counts = merged(found)
+                    found, size = [], 0
             if found:
-                new, n = np.unique(np.concatenate(found), return_counts=True)
-                keys, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                total = np.zeros(len(keys), np.int64)
-                np.add.at(total, where, np.concatenate([counts, n]))
-                counts = total
+                keys, counts = merged(found)
             if len(keys) > HELD:
                 yield given()
                 keys, counts = keys[:0], counts[:0]

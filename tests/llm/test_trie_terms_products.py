@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pitloom.llm import divergence, exact_search, prefix_trie
@@ -120,6 +121,23 @@ def test_divergence(spark, monkeypatch, held):
     assert Counter(map(tuple, got)) == divergence_by_hand(rows, 8, 5)
 
 
+def test_long_texts_are_cut_between_terms(monkeypatch):
+    monkeypatch.setattr(divergence, "CHUNK_BYTES", 40)
+    rng = random.Random(7)
+    rows = ["".join(rng.choice("aBé 1-") for _ in range(n)) for n in (0, 3, 50, 90, 2_000_000, 7)] + [None, "x" * 3_000_000]
+    column, found = pa.array([r for r in rows]), defaultdict(Counter)
+    for row, text, edges in divergence._pieces(column):
+        for doc, start, length in zip(*divergence._tokens(text, edges)):
+            found[row + doc][text[start : start + length].tobytes()] += 1
+    want = [Counter(re.findall(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (r or "").encode().lower())) for r in rows]
+    assert [found[i] for i in range(len(rows))] == want
+    documents = list(divergence._document_terms([pa.RecordBatch.from_arrays([pa.array(["en"] * len(rows)), pa.array([r or "" for r in rows])], names=["lang", "text"])]))
+    got = Counter()
+    for b in documents:
+        got.update(dict(zip([t.encode() for t in b["term"].to_pylist()], b["n"].to_pylist())))
+    assert got == Counter(t for w in want for t in w)
+
+
 def test_divergence_without_terms(spark):
     docs = spark.createDataFrame([("a", "en", "x"), ("b", "en", "y"), (None, "de", "x")], "text string, lang string, source string")
     assert sorted(map(tuple, divergence.source_divergence(docs).collect())) == [("en", "x", "pair", "y", 0, 1), ("en", "y", "pair", "x", 0, 1)]
