@@ -18,7 +18,8 @@ def asof_join(left: DataFrame, right: DataFrame, key: str | None, left_time: str
     holds much of the rows is many tasks; the last right row of a span, one
     for each key and span, is carried to the key's later spans.  Without a
     key, the join runs over the distinct times in spans (30 days if none are
-    asked for).  Null times match nothing.
+    asked for).  Null times and null keys
+    match nothing; left rows that have them stay, with null values.
     """
     if key is None:
         times = asof_join(left.select(left_time).distinct().withColumn("_k", F.lit(0)), right.withColumn("_k", F.lit(0)), "_k", left_time, right_time, values, tie, span_days or 30)
@@ -26,8 +27,8 @@ def asof_join(left: DataFrame, right: DataFrame, key: str | None, left_time: str
     packed = F.struct(*values)
     names = [c for c in left.columns if c not in (key, left_time)]
     a = left.select(F.col(key).alias("_key"), F.col(left_time).alias("_time"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"), F.lit(None).cast(right.select(packed.alias("v")).schema["v"].dataType).alias("_values"), F.struct(*names, F.lit(0).alias("_pad")).alias("_left"))
-    b = right.where(F.col(right_time).isNotNull()).select(F.col(key).alias("_key"), F.col(right_time).alias("_time"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), packed.alias("_values"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"))
-    parts = ["_key"]
+    b = right.where(F.col(right_time).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(right_time).alias("_time"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), packed.alias("_values"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"))
+    parts = ["_key", F.when(F.col("_key").isNull(), F.xxhash64("_time"))]  # rows without a key need not meet
     if span_days:
         parts.append("_span")
         a, b = (x.withColumn("_span", F.floor(F.unix_date(F.to_date("_time")) / span_days)) for x in (a, b))
@@ -45,7 +46,7 @@ def _carried(out: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     before = Window.partitionBy("_key").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     spans = asked.withColumn("_asked", F.lit(1)).unionByName(ends, allowMissingColumns=True).groupBy("_key", "_span").agg(F.max("_asked").alias("_asked"), F.first("_values", ignorenulls=True).alias("_values"))
     past = spans.withColumn("_past", F.last("_values", ignorenulls=True).over(before)).where("_asked = 1 and _past is not null").select(F.col("_key").alias("_pk"), F.col("_span").alias("_ps"), "_past")
-    joined = out.join(past, F.col("_key").eqNullSafe(F.col("_pk")) & (F.col("_span") == F.col("_ps")), "left")
+    joined = out.join(past, (F.col("_key") == F.col("_pk")) & (F.col("_span") == F.col("_ps")), "left")
     return joined.withColumn("_values", F.coalesce("_values", "_past"))
 
 

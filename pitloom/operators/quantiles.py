@@ -1,4 +1,4 @@
-"""Exact quantiles by group whose cost in one task doesn't grow with a group's distinct values."""
+"""Exact quantiles by group; one task puts in order a small share (0.4 % a quantile) of its largest group's values, not all of them."""
 
 from __future__ import annotations
 
@@ -24,14 +24,17 @@ def _met(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: Sequence[float], name: str = "q") -> DataFrame:
-    """keys with an array of the quantiles of value, interpolated between neighbours; nulls don't count, a group without values is left out.
+    """keys with an array of the quantiles of value, interpolated between neighbours; null and NaN don't count, a group without values is left out.
 
     A mergeable sketch brackets each quantile.  One aggregate counts the rows
     before the bracket and keeps the values next to it; only the bracket's
-    distinct values, some 0.4 % of the group, are counted and put in order.
+    distinct values, some 0.4 % of the group, are counted and put in order.  A
+    place that the bracket misses, which the sketch's error doesn't allow,
+    ends the job.  Infinite values count: between one and a finite neighbour
+    lies the infinite one, between both infinite ones NaN.
     """
     keys = list(keys) or ["_all"]
-    v = df.withColumn("_all", F.lit(0)).select(*keys, value.cast("double").alias("_v")).where("_v is not null")
+    v = df.withColumn("_all", F.lit(0)).select(*keys, value.cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
     ends = [e for p in probs for e in (max(p - SLACK, 0.0), min(p + SLACK, 1.0))]
     bounds = v.groupBy(*keys).agg(F.percentile_approx("_v", ends, ACCURACY).alias("_b"))
     j = _met(v, bounds, keys)
@@ -47,7 +50,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: Se
     m = _met(sums, upto, [*keys, "i"]).select(*keys, "i", "_n", "p", "below", "before", "after", "_v", (F.col("below") + F.col("_upto") - F.col("_c")).alias("first"), (F.col("below") + F.col("_upto")).alias("end"))
     place = F.col("p") * (F.col("_n") - 1)
     at = lambda k: F.coalesce(F.max(F.when((F.col("first") <= k) & (k < F.col("end")), F.col("_v"))), F.max(F.when(k < F.col("below"), F.col("before"))), F.max("after"))
+    missed = (F.floor(place) < F.col("below") - 1) | (F.ceil(place) > F.col("last"))
+    m = m.withColumn("last", F.max("end").over(Window.partitionBy(*keys, "i"))).where(F.when(missed, F.raise_error(F.lit("the sketch's bracket misses a quantile")).cast("boolean")).otherwise(True))
     out = m.groupBy(*keys, "i").agg(F.max(place - F.floor(place)).alias("share"), at(F.floor(place)).alias("a"), at(F.ceil(place)).alias("b"))
-    quantile = F.col("a") + F.col("share") * (F.col("b") - F.col("a"))
+    a, b, share = F.col("a"), F.col("b"), F.col("share")
+    infinite = (F.abs(a) == float("inf")) | (F.abs(b) == float("inf"))
+    quantile = F.when((a == b) | (share == 0), a).when(infinite, (1 - share) * a + share * b).otherwise(a + share * (b - a))
     out = out.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", quantile.alias("q")))), lambda s: s["q"]).alias(name))
     return out.drop("_all")

@@ -215,7 +215,7 @@ def monthly(spark, d) -> DataFrame:
 
 @query(f"WITH {BARS}, {_FUND}, p AS (SELECT b.date, b.ticker, f.revenue FROM bars b ASOF LEFT JOIN fund f ON b.ticker = f.ticker AND b.date >= f.available) SELECT {_DATE}, ticker, round(coalesce((revenue - avg(revenue) OVER w) / (stddev_samp(revenue) OVER w + 1e-9), 0), 5) AS z FROM p WINDOW w AS (PARTITION BY date)")
 def j3_fundamentals_panel(spark, d):
-    p = asof_join(bars(spark, d).select("ticker", "date"), monthly(spark, d), "ticker", "date", "available", ["revenue"], "available")
+    p = asof_join(bars(spark, d).select("ticker", "date"), monthly(spark, d), "ticker", "date", "available", ["revenue"], "available", span_days=90)
     w = Window.partitionBy("date")
     return p.select(day("date").alias("date"), "ticker", rounded(F.coalesce(F.try_divide(F.col("revenue") - F.avg("revenue").over(w), F.stddev_samp("revenue").over(w) + 1e-9), F.lit(0.0)), 5).alias("z"))
 
@@ -224,14 +224,14 @@ def j3_fundamentals_panel(spark, d):
 def j5_self_asof(spark, d):
     b = bars(spark, d).select("ticker", "date", "close")
     past = b.select("ticker", F.date_add("date", 365).alias("then"), F.col("close").alias("old"))
-    return asof_join(b, past, "ticker", "date", "then", ["old"], "then").select(day("date").alias("date"), "ticker", rounded(F.col("close") / F.col("old") - 1).alias("yearly"))
+    return asof_join(b, past, "ticker", "date", "then", ["old"], "then", span_days=90).select(day("date").alias("date"), "ticker", rounded(F.col("close") / F.col("old") - 1).alias("yearly"))
 
 
 @query(f"WITH {_FUND}, o AS (SELECT l_orderkey, l_linenumber, p_brand AS ticker, CAST(l_shipdate AS DATE) AS date, l_extendedprice AS v FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49) SELECT l_orderkey, l_linenumber, round(v / revenue, 6) AS share FROM o ASOF LEFT JOIN fund f ON o.ticker = f.ticker AND o.date >= f.available")
 def j6_event_over_revenue(spark, d):
     li = table(spark, d, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_linenumber", "l_partkey", F.to_date("l_shipdate").alias("date"), F.col("l_extendedprice").alias("v"))
     o = li.join(table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("ticker")), F.col("l_partkey") == F.col("p_partkey"))
-    out = asof_join(o.select("ticker", "date", "l_orderkey", "l_linenumber", "v"), monthly(spark, d), "ticker", "date", "available", ["revenue"], "available")
+    out = asof_join(o.select("ticker", "date", "l_orderkey", "l_linenumber", "v"), monthly(spark, d), "ticker", "date", "available", ["revenue"], "available", span_days=90)
     return out.select("l_orderkey", "l_linenumber", rounded(F.col("v") / F.col("revenue")).alias("share"))
 
 

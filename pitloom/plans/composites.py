@@ -270,7 +270,7 @@ i AS (SELECT date, count(*) AS n, covar_samp(a, b) / nullif(stddev_samp(a) * std
 SELECT {_DATE}, round(ic, 6) AS ic, round(avg(ic) OVER (ORDER BY date ROWS 12 PRECEDING), 6) AS quarter FROM i""")
 def x19_sentiment_ic(spark, d):
     f = bars(spark, d).select("date", "ticker", forward_change(F.col("close"), "ticker").alias("fwd"))
-    j = asof_join(f, sentiment(spark, d), "ticker", "date", "known", ["mood"], "tie").where("fwd is not null and mood is not null")
+    j = asof_join(f, sentiment(spark, d), "ticker", "date", "known", ["mood"], "tie", span_days=90).where("fwd is not null and mood is not null")
     i = weekly_ic(j.withColumns({"a": average_rank(F.col("mood"), "date"), "b": average_rank(F.col("fwd"), "date")}))
     return i.select(day("date").alias("date"), rounded("ic").alias("ic"), rounded(F.avg("ic").over(Window.orderBy("date").rowsBetween(-12, 0))).alias("quarter"))
 

@@ -172,26 +172,6 @@ def k6_top_weights(spark, d):
     return k.select(day("date").alias("date"), "ticker", rounded(1 / F.col("sd") / F.sum(1 / F.col("sd")).over(date)).alias("inverse_vol"), rounded((6 - F.col("k")) / F.sum(6 - F.col("k")).over(date)).alias("by_rank"))
 
 
-def _capped(book: DataFrame, cap: float, rounds: int) -> DataFrame:
-    """Weights above the cap are held there, their excess goes to the free names of the date by weight, in so many rounds."""
-    date = Window.partitionBy("date")
-    for _ in range(rounds):
-        free = F.when(F.col("w") < cap, F.col("w")).otherwise(0.0)
-        excess = F.sum(F.greatest(F.col("w") - cap, F.lit(0.0))).over(date)
-        book = book.withColumn("w", F.when(F.col("w") >= cap, F.lit(cap)).otherwise(F.col("w") + F.coalesce(F.try_divide(excess * free, F.sum(free).over(date)), F.lit(0.0))))
-    return book
-
-
-def _capped_sql(name: str, source: str) -> str:
-    return f"{name} AS (SELECT date, ticker, CASE WHEN w >= 0.06 THEN 0.06 ELSE w + coalesce(sum(greatest(w - 0.06, 0)) OVER (PARTITION BY date) * w / nullif(sum(CASE WHEN w < 0.06 THEN w ELSE 0 END) OVER (PARTITION BY date), 0), 0) END AS w FROM {source})"
-
-
-@query(f"WITH {BARS}, w0 AS (SELECT date, ticker, volume * 1.0 / sum(volume) OVER (PARTITION BY date) AS w FROM bars), {_capped_sql('w1', 'w0')}, {_capped_sql('w2', 'w1')}, {_capped_sql('w3', 'w2')} SELECT {_DATE}, ticker, round(w, 6) AS w FROM w3")
-def k9_capped_weights(spark, d):
-    book = bars(spark, d).select("date", "ticker", (F.col("volume") / F.sum("volume").over(Window.partitionBy("date"))).alias("w"))
-    return _out(_capped(book, 0.06, 3), "w")
-
-
 @query(f"WITH {BARS}, a AS (SELECT date, ticker, avg(volume) OVER {_rows(13)} AS adv, count(*) OVER {_rows(13)} AS n FROM bars), b AS (SELECT date, ticker, least(1.0 / count(*) OVER (PARTITION BY date), adv * 0.0003) AS w FROM a WHERE n >= 5 AND adv > 40) SELECT {_DATE}, ticker, round(w, 6) AS w, round(1 - sum(w) OVER (PARTITION BY date), 6) AS cash FROM b")
 def k10_liquidity_capped(spark, d):
     v, date = frame("ticker", 13), Window.partitionBy("date")
@@ -343,12 +323,6 @@ def x25_market_regressions(spark, d):
     return b.select("ticker", "sector", rounded("beta", 5).alias("beta"), rounded("r2", 5).alias("r2"), rounded(F.col("beta") - F.avg("beta").over(Window.partitionBy("sector")), 5).alias("against_sector"))
 
 
-@query(f"WITH {BARS}, k AS (SELECT date, ticker, rank() OVER (PARTITION BY date ORDER BY volume) + (count(*) OVER (PARTITION BY date, volume) - 1) / 2.0 AS a, avg(volume) OVER {_rows(8)} AS s FROM bars) SELECT {_DATE}, ticker, round(a * least(greatest(1 + (s - 100) / 1000, 0.8), 1.2), 5) AS score FROM k")
-def x31_score_overlay(spark, d):
-    s = F.avg("volume").over(frame("ticker", 8))
-    return _out(bars(spark, d).withColumn("score", average_rank(F.col("volume"), "date") * clip(1 + (s - 100) / 1000, 0.8, 1.2)), "score", digits=5)
-
-
 def _cdf_sql(x: str) -> str:
     z, t = f"(abs({x}) / sqrt(2))", f"(1 / (1 + 0.3275911 * (abs({x}) / sqrt(2))))"
     tail = f"({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-{z} * {z}))"

@@ -44,6 +44,7 @@ def test_asof_join_in_spans(spark, span):
     left = spark.createDataFrame([("a" if i % 3 else None, d(1 + i % 28), i) for i in range(60)] + [("a", None, 99)], "k string, t date, x int")
     right = spark.createDataFrame([("a" if i % 2 else None, d(2 + i * 5 % 27), None if i % 4 == 1 else float(i), i % 3) for i in range(9)] + [("a", None, 7.0, 1)], "k string, at date, v double, n int")
     whole = asof_join(left, right, "k", "t", "at", ["v"], "n").collect()
+    assert [r.v for r in whole if r.k is None] == [None] * 20
     cut = asof_join(left, right, "k", "t", "at", ["v"], "n", span).collect()
     assert sorted(map(str, whole)) == sorted(map(str, cut))
     assert asof_join(left, right.limit(0), "k", "t", "at", ["v"], "n", span).where("v is null").count() == 61
@@ -63,3 +64,12 @@ def test_exact_quantiles(spark, n):
     everything = exact_quantiles(df, [], F.col("v"), [0.5]).collect()
     assert np.isclose(everything[0].q[0], np.median(np.concatenate(list(groups.values()))))
     assert exact_quantiles(df.where("k = 'empty'"), ["k"], F.col("v"), probs).count() == 0
+
+
+def test_quantiles_of_infinite_and_nan_values(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("top", x) for x in (1.0, 2.0, inf)] + [("nan", float(i)) for i in range(10)] + [("nan", nan)] + [("both", -inf), ("both", inf)] + [("low", -inf), ("low", 4.0)] + [("none", nan)]
+    got = {r.k: r.q for r in exact_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], F.col("v"), [0.0, 0.5, 0.75, 1.0]).collect()}
+    assert set(got) == {"top", "nan", "both", "low"}
+    assert got["top"] == [1.0, 2.0, inf, inf] and got["nan"] == [0.0, 4.5, 6.75, 9.0] and got["low"] == [-inf, -inf, -inf, 4.0]
+    assert got["both"][0] == -inf and np.isnan(got["both"][1]) and got["both"][3] == inf
