@@ -12,35 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import numbered
+from .schemas import checked, problems
 from .session import checkpointed
 
-_TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
-
-
-def problems(value: object, schema: dict, at: str = "$") -> list[str]:
-    """What a value breaks of a schema: type, enum, minLength, required, properties, additionalProperties, items."""
-    kind = schema.get("type")
-    if kind and (not isinstance(value, _TYPES[kind]) or isinstance(value, bool) and kind in ("integer", "number")):
-        return [f"{at}: not {kind}"]
-    found = []
-    if "enum" in schema and value not in schema["enum"]:
-        found.append(f"{at}: not one of the values")
-    if isinstance(value, str) and len(value) < schema.get("minLength", 0):
-        found.append(f"{at}: too short")
-    if isinstance(value, dict):
-        known = schema.get("properties", {})
-        found += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
-        for k in sorted(value):
-            if k in known:
-                found += problems(value[k], known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
-                found.append(f"{at}.{k}: not expected")
-    if isinstance(value, list) and "items" in schema:
-        for i, x in enumerate(value):
-            found += problems(x, schema["items"], f"{at}[{i}]")
-    return found
-
-
 def canonical(value: object) -> str:
     """Sorted keys, no spaces; half surrogate pairs, which UTF-8 can't hold, stay escaped."""
     out = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
@@ -60,10 +34,16 @@ def _finite(x: str) -> float:
     return value
 
 
+def _members(pairs: list[tuple[str, object]]) -> dict:
+    if len(members := dict(pairs)) < len(pairs):
+        raise ValueError("repeated key")
+    return members
+
+
 def parsed(arguments: str | None) -> object:
-    """The value of JSON that canonical can write again; ValueError for anything else, infinite numbers and nesting too deep included."""
+    """The value of JSON that canonical can write again; ValueError for anything else, repeated keys, infinite numbers and nesting too deep included."""
     try:
-        value = json.loads(arguments or "", parse_constant=_no_constant, parse_float=_finite)
+        value = json.loads(arguments or "", parse_constant=_no_constant, parse_float=_finite, object_pairs_hook=_members)
         canonical(value)
         return value
     except RecursionError as e:
@@ -166,10 +146,14 @@ def link_tool_calls(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     a message.  Ordered by step, a conversation's calls follow what they wait
     for and results follow their calls; dependencies on unknown ids are
     dropped.  json has sorted keys and no spaces.  Calls and results without
-    an id, or a conv_id, link with nothing.  Arguments that are no JSON, hold an
-    infinite number or nest too deep are reported and written as text.  Repeated rows count as
-    duplicates of each other, but each is returned.
+    an id, or a conv_id, link with nothing.  Arguments that are no JSON, repeat a
+    key, hold an infinite number or nest too deep are reported and written as
+    text.  A schema with keywords that schemas.checked doesn't know is refused
+    before the job.  Repeated rows count as duplicates of each other, but each
+    is returned.
     """
+    for name, schema_ in schemas.items():
+        checked(schema_, name)
     columns = ["conv_id", "turn", "kind", "role", "call_id", "name", "arguments", "depends_on", "content"]
     rows = checkpointed(events.select(*columns).withColumn("_order", F.xxhash64("arguments", "content")))
     key = ["conv_id", "call_id"]

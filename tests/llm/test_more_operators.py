@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from pitloom.llm import chat, lines, neighbours, private, queries
+from pitloom.llm import chat, lines, neighbours, private, queries, schemas
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, k1 string"
 
@@ -142,6 +142,33 @@ def test_tool_calls(spark):
     assert chat.link_tool_calls(events.limit(0), schemas).count() == 0
 
 
+@pytest.mark.parametrize("value, schema, broken", [
+    ({}, {"type": ["object", "null"]}, []), (None, {"type": ["object", "null"]}, []), (3, {"type": ["object", "null"]}, ["$: not object or null"]),
+    (2, {"minimum": 5}, ["$: too small"]), (5, {"minimum": 5, "exclusiveMaximum": 5}, ["$: too large"]), (1.0, {"type": "integer"}, []), (1.5, {"type": "integer"}, ["$: not integer"]),
+    (True, {"type": "integer"}, ["$: not integer"]), (True, {"const": 1}, ["$: not the value"]), (1.0, {"enum": [1]}, []), ([1], {"enum": [[True]]}, ["$: not one of the values"]),
+    ("abcd", {"maxLength": 3, "pattern": "^b"}, ["$: too long", "$: not of the pattern"]), (0.3, {"multipleOf": 0.1}, []), (7, {"multipleOf": 2}, ["$: not a multiple"]),
+    ({"a": [1, "x"], "b": 2}, {"properties": {"a": {"items": {"type": "number"}}}, "additionalProperties": {"type": "string"}, "required": ["c"]}, ["$.c: missing", "$.a[1]: not number", "$.b: not string"]),
+    (4, {"anyOf": [{"type": "string"}, {"maximum": 3}]}, ["$: fits none of the schemas"]), (2, {"oneOf": [{"type": "integer"}, {"maximum": 3}]}, ["$: doesn't fit just one of the schemas"]),
+    (2, {"not": {"type": "integer"}}, ["$: fits what it must not"]), ([1, 1.0], {"uniqueItems": True, "maxItems": 1}, ["$: too many items", "$: repeated items"]), (1, False, ["$: not expected"]),
+])
+def test_schemas(value, schema, broken):
+    schemas.checked(schema)
+    assert schemas.problems(value, schema) == broken
+
+
+@pytest.mark.parametrize("schema", [{"minimun": 5}, {"type": "int"}, {"type": ["object", 3]}, {"pattern": "("}, {"properties": {"a": {"if": {}}}}, {"anyOf": []}, {"maxLength": -1}, {"multipleOf": 0}, [], {"items": 3}])
+def test_schemas_that_are_refused(spark, schema):
+    with pytest.raises(ValueError):
+        chat.link_tool_calls(spark.createDataFrame([], "conv_id long"), {"tool": schema})
+
+
+def test_repeated_keys():
+    assert chat.parsed('{"a":{"x":1},"b":[{"x":2}]}') == {"a": {"x": 1}, "b": [{"x": 2}]}
+    for text in ('{"x":1,"x":2}', '[{"a":1,"a":1}]'):
+        with pytest.raises(ValueError):
+            chat.parsed(text)
+
+
 def test_hostile_arguments(spark):
     deep = "[" * 100_000 + "]" * 100_000
     given = ['{"a":1e999}', '{"a":"\\ud800"}', deep, '{"a":NaN}', '{"b":1,"a":"\\ud83d\\ude00"}', "", None]
