@@ -158,10 +158,12 @@ def w38_beta_transition(spark, d):
     return _out(c.where("n >= 20 and abs(z) > 2.5"), "z", digits=4)
 
 
-@query(f"WITH {RETURNS}, k AS (SELECT ticker, r, row_number() OVER (PARTITION BY ticker ORDER BY r DESC) AS n FROM rets WHERE r IS NOT NULL) SELECT ticker, round(avg(r), 6) AS top5 FROM k WHERE n <= 5 GROUP BY 1")
+@query(f"WITH {RETURNS}, k AS (SELECT date, ticker, list(r) OVER {_rows(21)} AS l FROM rets WHERE r IS NOT NULL) SELECT {_DATE}, ticker, round(-list_avg(list_sort(l, 'DESC')[1:5]), 8) AS top5 FROM k WHERE len(l) >= 15")
 def k5_top_mean(spark, d):
-    k = returns(spark, d).where("r is not null").withColumn("n", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("r")))).where("n <= 5")
-    return k.groupBy("ticker").agg(rounded(F.avg("r")).alias("top5"))
+    """Less the mean of the five largest of 21 returns, from 15 on; the frame is short, so its rows fit in an array."""
+    k = returns(spark, d).where("r is not null").withColumn("l", F.collect_list("r").over(frame("ticker", 21))).where(F.size("l") >= 15)
+    top = F.slice(F.sort_array("l", asc=False), 1, 5)
+    return _out(k.withColumn("top5", -F.aggregate(top, F.lit(0.0), lambda s, x: s + x) / 5), "top5", digits=8)
 
 
 @query(f"WITH {RETURNS}, v AS (SELECT date, ticker, r, stddev_samp(r) OVER {_rows(26)} AS sd, count(r) OVER {_rows(26)} AS n FROM rets), k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY r DESC, ticker) AS k FROM v WHERE n >= 10 AND r IS NOT NULL) SELECT {_DATE}, ticker, round(1 / sd / sum(1 / sd) OVER (PARTITION BY date), 6) AS inverse_vol, round((6 - k) * 1.0 / sum(6 - k) OVER (PARTITION BY date), 6) AS by_rank FROM k WHERE k <= 5")
