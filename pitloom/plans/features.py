@@ -319,12 +319,6 @@ def x24_lag_matrix(spark, d):
     return _out(returns(spark, d).withColumns({f"r{k}": F.lag("r", k).over(by("ticker")) for k in range(1, 5)}), *(f"r{k}" for k in range(1, 5)))
 
 
-@query(f"WITH {MARKET}, b AS (SELECT ticker, {_SECTOR} AS sector, regr_slope(r, m) AS beta, regr_r2(r, m) AS r2, count(*) AS n FROM j GROUP BY 1, 2) SELECT ticker, sector, round(beta, 5) AS beta, round(r2, 5) AS r2, round(beta - avg(beta) OVER (PARTITION BY sector), 5) AS against_sector FROM b WHERE n >= 20")
-def x25_market_regressions(spark, d):
-    b = market(spark, d).groupBy("ticker", sector().alias("sector")).agg(F.regr_slope("r", "m").alias("beta"), F.regr_r2("r", "m").alias("r2"), F.count(F.lit(1)).alias("n")).where("n >= 20")
-    return b.select("ticker", "sector", rounded("beta", 5).alias("beta"), rounded("r2", 5).alias("r2"), rounded(F.col("beta") - F.avg("beta").over(Window.partitionBy("sector")), 5).alias("against_sector"))
-
-
 def _cdf_sql(x: str) -> str:
     z, t = f"(abs({x}) / sqrt(2))", f"(1 / (1 + 0.3275911 * (abs({x}) / sqrt(2))))"
     tail = f"({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-{z} * {z}))"

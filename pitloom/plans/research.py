@@ -145,17 +145,6 @@ def a29_confidence_score(spark, d):
 _TWO = "covar_samp(r, m) AS ym, covar_samp(r, p) AS yp, covar_samp(m, p) AS mp, var_samp(m) AS mm, var_samp(p) AS pp, var_samp(r) AS yy"
 
 
-@query(f"WITH {MARKET}, l AS (SELECT ticker, r, m, lag(r) OVER (PARTITION BY ticker ORDER BY date) AS p FROM j), k AS (SELECT ticker, count(*) AS n, {_TWO} FROM l WHERE p IS NOT NULL GROUP BY 1), b AS (SELECT *, (ym * pp - yp * mp) / (mm * pp - mp * mp) AS b1, (yp * mm - ym * mp) / (mm * pp - mp * mp) AS b2 FROM k), e AS (SELECT *, (yy - b1 * ym - b2 * yp) * (n - 1) / (n - 3) AS s2 FROM b) SELECT ticker, n, round(b1, 5) AS beta, round(b2, 5) AS momentum, round(b1 / sqrt(s2 * pp / ((mm * pp - mp * mp) * (n - 1))), 4) AS t, round(1 - (yy - b1 * ym - b2 * yp) / yy, 5) AS r2, round({t_tail_sql('(b1 / sqrt(s2 * pp / ((mm * pp - mp * mp) * (n - 1))))', 'n - 3')}, 9) AS p FROM e WHERE n >= 20")
-def a30_ols(spark, d):
-    """Two regressors from their second moments: one aggregate for each ticker, no rows gathered."""
-    l = market(spark, d).withColumn("p", F.lag("r").over(by("ticker"))).where("p is not null")  # noqa: E741
-    k = l.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), *(F.covar_samp(a, b).alias(c) for a, b, c in (("r", "m", "ym"), ("r", "p", "yp"), ("m", "p", "mp"), ("m", "m", "mm"), ("p", "p", "pp"), ("r", "r", "yy")))).where("n >= 20")
-    det = "(mm * pp - mp * mp)"
-    e = k.withColumn("b1", F.expr(f"(ym * pp - yp * mp) / {det}")).withColumn("b2", F.expr(f"(yp * mm - ym * mp) / {det}")).withColumn("rest", F.expr("yy - b1 * ym - b2 * yp"))
-    t = F.expr(f"b1 / sqrt(rest * (n - 1) / (n - 3) * pp / ({det} * (n - 1)))")
-    return e.select("ticker", "n", rounded("b1", 5).alias("beta"), rounded("b2", 5).alias("momentum"), rounded(t, 4).alias("t"), rounded(1 - F.col("rest") / F.col("yy"), 5).alias("r2"), rounded(t_tail(t, F.col("n") - 3), 9).alias("p"))
-
-
 @query(f"WITH {MARKET}, q AS (SELECT ticker, count(*) AS n, avg(r) / (stddev_samp(r) / sqrt(count(*))) AS t FROM j GROUP BY 1), k AS (SELECT ticker, round({t_tail_sql('t', 'n - 1')}, 10) AS p FROM q WHERE n >= 2), o AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k, count(*) OVER () AS n FROM k) SELECT ticker, p, CAST(p <= coalesce((SELECT max(p) FROM o WHERE p <= k * 0.2 / n), -1) AS INTEGER) AS reject FROM o")
 def a31_false_discoveries(spark, d):
     """Whether mean returns differ from 0: exact t tails, tickers of two returns at least."""
@@ -173,16 +162,6 @@ def a32_optimal_lag(spark, d):
     return u.groupBy("ticker").agg(F.max(F.struct(F.round(F.abs("c"), 8).alias("a"), -F.col("lag"), "lag", "c")).alias("top")).select("ticker", "top.lag", rounded("top.c", 5).alias("c"))
 
 
-@query(f"WITH {MARKET}, l AS (SELECT ticker, r, lag(r) OVER (PARTITION BY ticker ORDER BY date) AS p, lag(m) OVER (PARTITION BY ticker ORDER BY date) AS q FROM j), k AS (SELECT ticker, count(*) AS n, covar_samp(r, p) AS yp, covar_samp(r, q) AS yq, covar_samp(p, q) AS pq, var_samp(p) AS pp, var_samp(q) AS qq, var_samp(r) AS yy FROM l WHERE p IS NOT NULL GROUP BY 1), e AS (SELECT ticker, n, yy - yp * yp / pp AS small, yy - ((yp * qq - yq * pq) * yp + (yq * pp - yp * pq) * yq) / (pp * qq - pq * pq) AS large FROM k) SELECT ticker, round((small - large) / (large / (n - 3)), 4) AS f, round({t_tail_sql('sqrt(greatest((small - large) / (large / (n - 3)), 0))', 'n - 3')}, 9) AS p FROM e WHERE n >= 20")
-def a33_granger(spark, d):
-    """F of the market's last week beside the ticker's own last week, from second moments."""
-    l = market(spark, d).select("ticker", "r", F.lag("r").over(by("ticker")).alias("p"), F.lag("m").over(by("ticker")).alias("q")).where("p is not null")  # noqa: E741
-    k = l.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), *(F.covar_samp(a, b).alias(c) for a, b, c in (("r", "p", "yp"), ("r", "q", "yq"), ("p", "q", "pq"), ("p", "p", "pp"), ("q", "q", "qq"), ("r", "r", "yy")))).where("n >= 20")
-    e = k.withColumn("small", F.expr("yy - yp * yp / pp")).withColumn("large", F.expr("yy - ((yp * qq - yq * pq) * yp + (yq * pp - yp * pq) * yq) / (pp * qq - pq * pq)"))
-    f = F.expr("(small - large) / (large / (n - 3))")
-    return e.select("ticker", rounded(f, 4).alias("f"), rounded(f_tail(f, F.lit(1), F.col("n") - 3), 9).alias("p"))
-
-
 @query(f"WITH {MARKET}, w AS (SELECT ticker, {_RSS} AS s, count(*) AS n FROM j GROUP BY 1), h AS (SELECT ticker, sum(s) AS s FROM (SELECT ticker, date >= DATE '1998-07-01' AS late, {_RSS} AS s FROM j GROUP BY 1, 2) GROUP BY 1) SELECT ticker, round(((w.s - h.s) / 2) / (h.s / (n - 4)), 4) AS f, round(pow(1 + 2 * greatest(((w.s - h.s) / 2) / (h.s / (n - 4)), 0) / (n - 4), -(n - 4) / 2.0), 9) AS p FROM w JOIN h USING (ticker) WHERE n >= 20")
 def a34_chow_break(spark, d):
     """Both halves and the whole in one aggregate: moments of a half are those of the rows that lie in it."""

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from pitloom.plans import books, cleaning, composites, features, indicators, ingest, relational, research, signals, streams, windows  # noqa: F401
+from pitloom.plans import books, cleaning, composites, features, indicators, ingest, relational, regressions, research, signals, streams, windows  # noqa: F401
 from pitloom.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
