@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,31 +45,23 @@ def followed(first: DataFrame, then: DataFrame, key: str, within: str, late: str
     return a.join(b, F.expr(f"_a = _b AND _then > _at AND _then <= _at + INTERVAL {within}")).select("first", "then")
 
 
-def held_regimes(events: DataFrame, key: str, low: float, high: float) -> DataFrame:
-    """(event_id, regime): a key turns high above one bound and low below the other, and keeps its regime in between.
-
-    The regime is state of the key, so it outlives micro-batches; a batch's
-    events of a key are taken in order of time.
-    """
-    def update(_, batches, state):
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        now = pd.Series(np.where(pdf["value"] > high, "high", np.where(pdf["value"] < low, "low", None)), index=pdf.index, dtype=object)
-        regime = now.ffill().fillna(state.get[0] if state.exists else "none")
-        state.update((regime.iloc[-1],))
-        yield pd.DataFrame({"event_id": pdf["event_id"], "regime": regime})
+def in_slices(slices: Iterable[DataFrame], folder: str, start: Callable) -> None:
+    """Feeds a stream slice by slice: each is written to the folder, then all that is new runs through start(stream), a writer, from its checkpoint."""
+    for rows in slices:
+        spark = rows.sparkSession
+        rows.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        start(stream).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
 
-    return events.select(key, "event_id", "ts", "value").groupBy(key).applyInPandasWithState(update, "event_id long, regime string", "regime string", "append", "NoTimeout")
 
+def slices_to_table(slices: list[DataFrame], folder: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What change makes of the stream of slices, as a table."""
+    spark, seen = slices[0].sparkSession, []
 
-def breaches(events: DataFrame, key: str, start: float, limit: float) -> DataFrame:
-    """(event_id, fall): events at which a key's running sum of (value - start) lies more than the limit below its peak; sum and peak are state."""
-    def update(_, batches, state):
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        total, peak = state.get if state.exists else (0.0, 0.0)
-        run = total + (pdf["value"] - start).cumsum()
-        top = run.cummax().clip(lower=peak)
-        state.update((float(run.iloc[-1]), float(top.iloc[-1])))
-        out = pd.DataFrame({"event_id": pdf["event_id"], "fall": top - run})
-        yield out[out["fall"] > limit]
+    def start(stream: DataFrame):
+        out = change(stream)
+        seen.append(out.schema)
+        return out.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows")
 
-    return events.select(key, "event_id", "ts", "value").groupBy(key).applyInPandasWithState(update, "event_id long, fall double", "total double, peak double", "append", "NoTimeout")
+    in_slices(slices, folder, start)
+    return spark.read.schema(seen[0]).parquet(f"{folder}/rows")
