@@ -58,13 +58,3 @@ def replace_by_key(existing: DataFrame, incoming: DataFrame, keys: list[str]) ->
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-
-
-def pair_correlations(df: DataFrame, key: str, series: str, value: str, least: int = 2) -> DataFrame:
-    """(a, b, n, corr) of every unordered pair of series, met on the key; work grows with the pairs asked for."""
-    from ..functions.stats import correlation
-
-    a = df.select(key, F.col(series).alias("a"), F.col(value).alias("x"))
-    b = df.select(key, F.col(series).alias("b"), F.col(value).alias("y"))
-    pairs = a.join(b, key).where("a < b and x is not null and y is not null").groupBy("a", "b")
-    return pairs.agg(F.count(F.lit(1)).alias("n"), correlation(F.col("x"), F.col("y")).alias("corr")).where(F.col("n") >= least)

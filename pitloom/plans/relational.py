@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import clip, next_business_day, normalized_ticker
-from ..operators.joins import asof_join, keep_last, pair_correlations, replace_by_key
+from ..operators.correlations import pair_correlations
+from ..operators.joins import asof_join, keep_last, replace_by_key
 from ..operators.quantiles import exact_quantiles
 from ..sources.tables import bars, range_scan, table
 from .registry import BARS, RETURNS, day, query, rounded

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.stats import by, correlation, forward_change, frame, since
 from ..functions.tails import f_tail, t_tail, t_tail_sql
-from ..operators.joins import pair_correlations
+from ..operators.correlations import pair_correlations
 from ..sources.tables import bars, table, week_ending_friday
 from .registry import BARS, RETURNS, day, query, rounded
 from .windows import _IC, _panel, rank_ic, returns
@@ -304,9 +304,9 @@ def a64_edge_strength(spark, d):
 @query(f"WITH {RETURNS}, p AS (SELECT a.ticker AS a, b.ticker AS b, covar_samp(a.r, b.r) FILTER (a.date >= DATE '2000-06-01') / (stddev_samp(a.r) FILTER (a.date >= DATE '2000-06-01') * stddev_samp(b.r) FILTER (a.date >= DATE '2000-06-01')) AS late, covar_samp(a.r, b.r) FILTER (a.date < DATE '2000-06-01') / (stddev_samp(a.r) FILTER (a.date < DATE '2000-06-01') * stddev_samp(b.r) FILTER (a.date < DATE '2000-06-01')) AS early FROM rets a JOIN rets b ON a.date = b.date AND a.ticker < b.ticker WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2) SELECT count(*) AS pairs, round(avg(late) - avg(early), 5) AS rise, count(*) FILTER (late > 0.3) AS high FROM p")
 def a65_correlation_stress(spark, d):
     r = returns(spark, d).where("r is not null").select("date", "ticker", "r")
-    late = F.col("date") >= F.lit("2000-06-01").cast("date")
-    x = lambda c, when: F.when(when, F.col(c))
-    p = r.withColumnsRenamed({"ticker": "a", "r": "x"}).join(r.withColumnsRenamed({"ticker": "b", "r": "y"}), "date").where("a < b").groupBy("a", "b").agg(correlation(x("x", late), x("y", late)).alias("late"), correlation(x("x", ~late), x("y", ~late)).alias("early"))
+    halves = r.withColumn("late", F.col("date") >= F.lit("2000-06-01").cast("date"))
+    c = pair_correlations(halves, "date", "ticker", "r", 1, "late")
+    p = c.groupBy("a", "b").agg(F.max(F.when(F.col("late"), F.col("corr"))).alias("late"), F.max(F.when(~F.col("late"), F.col("corr"))).alias("early"))
     return p.agg(F.count(F.lit(1)).alias("pairs"), rounded(F.avg("late") - F.avg("early"), 5).alias("rise"), F.count(F.when(F.col("late") > 0.3, 1)).alias("high"))
 
 
