@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
+
 #: Series of a block and keys of a chunk, about: blocks are dealt by hash.
 BLOCK, CHUNK = 256, 1024
 
@@ -35,7 +37,7 @@ def pair_correlations(df: DataFrame, key: str, series: str, value: str, least: i
     about the series' means.  An empty table gives an empty one.
     """
     rows = df.select(F.col(key).alias("_k"), F.col(series).alias("_s"), F.col(value).cast("double").alias("_x"), (F.col(part) if part else F.lit(None).cast("string")).alias("_part"))
-    rows = rows.where(F.col("_k").isNotNull() & F.col("_s").isNotNull() & (F.abs("_x") < float("inf")))
+    rows = stored(rows.where(F.col("_k").isNotNull() & F.col("_s").isNotNull() & (F.abs("_x") < float("inf"))))  # read three times
     means = rows.groupBy("_s").agg(F.avg("_x").alias("_m"))
     rows = rows.join(means, "_s").select("_k", "_s", (F.col("_x") - F.col("_m")).alias("_x"), "_part")
     size = rows.agg(F.approx_count_distinct("_s").alias("s"), F.approx_count_distinct("_k").alias("k")).first()  # two numbers
