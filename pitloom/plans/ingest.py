@@ -19,7 +19,7 @@ from .streams import _folder
 def sc5_price_files(spark, d):
     """One folder of CSV files for each ticker, written first, then read as a vendor's drop would be."""
     folder = _folder(spark)
-    bars(spark, d).select("date", "close", "volume", "ticker").write.partitionBy("ticker").csv(folder, header=True)
+    bars(spark, d).select("date", "close", "volume", "ticker").write.mode("append").partitionBy("ticker").csv(folder, header=True)
     return price_files(spark, folder, "date date, close double, volume double").select(day("date").alias("date"), "ticker", rounded("close").alias("close"), "volume")
 
 
