@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.matrices import moments
@@ -71,22 +72,36 @@ _TERMS = ["one", "a", "b", "c", "ab", "ac", "bc", "y"]
 _PAIRS = [(0, 1), (0, 2), (1, 2)]
 
 
-def _interactions(g: np.ndarray) -> dict:
-    """Coefficient, t and mean contribution of each product in y on (x1, x2, x1 * x2), from the products' sums; null if singular."""
+def _entry(i: str, j: str) -> Column:
+    """The count, means against one, else covariances: sums of raw products lose the digits that large means take."""
+    if i == "one":
+        return F.sum(i) if j == "one" else F.avg(j)
+    return F.covar_samp(i, j)
+
+
+def _solved(g: np.ndarray) -> dict:
+    """Coefficient, t and mean contribution of each product in y on (x1, x2, x1 * x2), from `_entry`, the columns in units of their deviations; null if singular."""
     coef, t, part = [], [], []
     for k, (i, j) in enumerate(_PAIRS):
-        at = [0, 1 + i, 1 + j, 4 + k]
-        x, xy, n = g[np.ix_(at, at)], g[at, 7], g[0, 0]
-        if n <= 4 or np.linalg.matrix_rank(x) < 4:
+        at = [1 + i, 1 + j, 4 + k]
+        n, unit = g[0, 0], np.sqrt(g[at, at])
+        x = g[np.ix_(at, at)] / np.outer(unit, unit) if n > 4 and (unit > 0).all() else np.zeros((3, 3))
+        if not np.isfinite(x).all() or np.linalg.matrix_rank(x) < 3:
             coef, t, part = coef + [None], t + [None], part + [None]
             continue
-        inverse = np.linalg.inv(x)
+        inverse, xy = np.linalg.inv(x), g[at, 7] / unit
         b = inverse @ xy
         error = (g[7, 7] - b @ xy) / (n - 4)
-        coef, t, part = coef + [b[3]], t + [b[3] / np.sqrt(error * inverse[3, 3])], part + [b[3] * g[0, 4 + k] / n]
+        coef, t, part = coef + [b[2] / unit[2]], t + [b[2] / np.sqrt(error * inverse[2, 2])], part + [b[2] / unit[2] * g[0, 4 + k]]
     return {"coef": np.array(coef, object), "t": np.array(t, object), "part": np.array(part, object)}
 
 
+def interactions(x: DataFrame) -> DataFrame:
+    """One row (coef, t, part), an entry for each of the products ab, ac and bc, for x (y, a, b, c)."""
+    x = x.withColumns({"one": F.lit(1.0), **{p: F.col(p[0]) * F.col(p[1]) for p in ("ab", "ac", "bc")}})
+    return moments(x, _TERMS, _entry, _solved, "coef array<double>, t array<double>, part array<double>")
+
+
 def _interaction_sql(a: str, b: str) -> str:
     return f"""SELECT '{a}' AS first, '{b}' AS second, b3 AS coef, b3 / sqrt((n - 1) * (vy - b1 * c1 - b2 * c2 - b3 * c3) / (n - 4) * m33 / det / (n - 1)) AS t, b3 * mean AS part FROM (SELECT *, (c1 * (s22 * s33 - s23 * s23) - c2 * (s12 * s33 - s13 * s23) + c3 * (s12 * s23 - s13 * s22)) / det AS b1, (-c1 * (s12 * s33 - s13 * s23) + c2 * (s11 * s33 - s13 * s13) - c3 * (s11 * s23 - s12 * s13)) / det AS b2, (c1 * (s12 * s23 - s13 * s22) - c2 * (s11 * s23 - s12 * s13) + c3 * m33) / det AS b3 FROM
 (SELECT *, s11 * s22 - s12 * s12 AS m33, s11 * (s22 * s33 - s23 * s23) - s12 * (s12 * s33 - s13 * s23) + s13 * (s12 * s23 - s13 * s22) AS det FROM (SELECT count(*) AS n, avg({a} * {b}) AS mean, var_samp(y) AS vy, var_samp({a}) AS s11, var_samp({b}) AS s22, var_samp({a} * {b}) AS s33, covar_samp({a}, {b}) AS s12, covar_samp({a}, {a} * {b}) AS s13, covar_samp({b}, {a} * {b}) AS s23, covar_samp({a}, y) AS c1, covar_samp({b}, y) AS c2, covar_samp({a} * {b}, y) AS c3 FROM x)))"""
@@ -95,9 +110,8 @@ def _interaction_sql(a: str, b: str) -> str:
 @query(f"WITH {RETURNS}, x AS (SELECT lead(close) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS y, -10 * r AS a, 10 * (high - low) / close AS b, volume / 100 AS c FROM rets QUALIFY a IS NOT NULL AND y IS NOT NULL), u AS (" + " UNION ALL ".join(_interaction_sql("abc"[i], "abc"[j]) for i, j in _PAIRS) + ") SELECT first, second, round(coef, 6) AS coef, round(t, 4) AS t, round(part, 6) AS part FROM u")
 def a67_interactions(spark, d):
     """All products in one aggregate over the rows; the regressions are solved from its one row."""
-    x = features(spark, d).select(F.lit(1.0).alias("one"), F.col("fwd").alias("y"), (10 * F.col("reversal")).alias("a"), (10 * F.col("spread")).alias("b"), (F.col("volume") / 100).alias("c")).where("a is not null and y is not null")
-    x = x.withColumns({p: F.col(p[0]) * F.col(p[1]) for p in ("ab", "ac", "bc")})
-    m = moments(x, _TERMS, lambda i, j: F.sum(F.col(i) * F.col(j)), _interactions, "coef array<double>, t array<double>, part array<double>")
+    x = features(spark, d).select(F.col("fwd").alias("y"), (10 * F.col("reversal")).alias("a"), (10 * F.col("spread")).alias("b"), (F.col("volume") / 100).alias("c")).where("a is not null and y is not null")
+    m = interactions(x)
     e = m.select(F.posexplode(F.arrays_zip("coef", "t", "part")).alias("k", "e"))
     pair = lambda side: F.array(*(F.lit("abc"[p[side]]) for p in _PAIRS))
     return e.select(F.get(pair(0), F.col("k")).alias("first"), F.get(pair(1), F.col("k")).alias("second"), rounded("e.coef").alias("coef"), rounded("e.t", 4).alias("t"), rounded("e.part").alias("part"))
