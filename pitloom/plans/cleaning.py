@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.stats import clip, frame
 from ..operators.joins import asof_join, replace_by_key
+from ..sources.storage import stored
 from ..sources.tables import bars, table
 from .registry import BARS, RETURNS, day, query, rounded
 from .windows import rank_ic
@@ -22,7 +23,11 @@ def rescrambled(df: DataFrame, cut: str, value: str) -> DataFrame:
 
 
 def moved_before(compute, df: DataFrame, cut: str, value: str, out: str) -> DataFrame:
-    """Rows up to the cut, and how many of them change in `out` if what comes later is scrambled; leakage if any do."""
+    """Rows up to the cut, and how many of them change in `out` if what comes later is scrambled; leakage if any do.
+
+    df is computed once and stored: sums of floats that are computed twice may differ in their last digits.
+    """
+    df = stored(df)
     keep = lambda x: compute(x).where(F.col("date") <= F.lit(cut).cast("date"))
     a, b = keep(df).select("ticker", "date", F.col(out).alias("x")), keep(rescrambled(df, cut, value)).select("ticker", "date", F.col(out).alias("y"))
     return a.join(b, ["ticker", "date"]).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("x").eqNullSafe(F.col("y")), 1)).alias("moved"))
