@@ -147,7 +147,7 @@ def regime_step(state: tuple | None, at: np.ndarray, z: np.ndarray) -> tuple[tup
 
 
 def breach_step(start: float, limit: float, losses: int, alpha: float, spread: float) -> Step:
-    """A running sum of (value - start), its fall below its peak, the losses in a row and the smoothed size of the moves; `alerts` adds 1, 2 and 4 for each that is past its bound.  NaN moves nothing and ends no row of losses."""
+    """A running sum of (value - start), its fall below its peak, the losses in a row and the smoothed size of the moves; `alerts` adds 1, 2 and 4 for each that is past its bound.  NaN moves nothing and ends no row of losses.  Falls are rounded to eight digits before they meet their limit, as sums from different starts differ in their last ones."""
     def step(state: tuple | None, at: np.ndarray, value: np.ndarray) -> tuple[tuple, dict[str, np.ndarray]]:
         total, peak, streak, size = state or (0.0, 0.0, 0, 0.0)
         known = ~np.isnan(value)
@@ -160,7 +160,7 @@ def breach_step(start: float, limit: float, losses: int, alpha: float, spread: f
         row = count - np.where(ends >= 0, count[ends], -streak)
         weight, add = compose(np.where(known, 1 - alpha, 1.0), np.where(known, alpha * np.abs(move), 0.0))
         smooth = add + weight * size
-        alerts = (top - run > limit) * 1 + (row >= losses) * 2 + (smooth > spread) * 4
+        alerts = (np.round(top - run, 8) > limit) * 1 + (row >= losses) * 2 + (smooth > spread) * 4
         return (float(run[-1]), float(top[-1]), int(row[-1]), float(smooth[-1])), {"fall": top - run, "losses": row.astype(np.int64), "size": smooth, "alerts": alerts.astype(np.int64)}
 
     return step

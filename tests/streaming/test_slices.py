@@ -117,3 +117,18 @@ def test_enriching(spark):
     got = {r.id: r.v for r in spark.read.parquet(f"{folder}/rows").collect()}
     assert got == {0: None, 1: 2.0, 2: 2.0, 3: 5.0, 4: None, 5: None, 6: 40.0}
     assert spark.read.parquet(f"{folder}/rows").count() == 7
+
+
+def test_fall_that_equals_its_limit():
+    """Cents that have fallen by the limit exactly are no breach, wherever batches end."""
+    rng = np.random.default_rng(7)
+    for size in rng.integers(1, 40, 200).tolist():
+        v = np.round(rng.uniform(0, 200, 40), 2)
+        run = np.cumsum(np.round(100 * v).astype(int) - 6000)
+        fall = np.maximum.accumulate(np.maximum(run, 0)) - run
+        limit = int(fall.max())
+        step, state, got = breach_step(60.0, limit / 100, 99, 0.1, 1e9), None, []
+        for a in range(0, 40, size):
+            state, out = step(state, np.arange(len(v[a : a + size])), v[a : a + size])
+            got += out["alerts"].tolist()
+        assert not any(got)
