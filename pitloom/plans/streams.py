@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..sources.storage import new_folder
@@ -74,6 +75,14 @@ def st5_sessions(spark, d):
 
 _ORDERED = "e AS (SELECT event_id, user_id, ts, value, row_number() OVER w AS i, coalesce(ts - lag(ts) OVER w > INTERVAL 2 DAY, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
 _DUE = "ts <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)"
+
+
+def log_z(value: str) -> Column:
+    """The logarithm of a value as a z; of 0 it is minus infinity, where Spark's is null."""
+    x = F.col(value)
+    return (F.when(x == 0, float("-inf")).otherwise(F.log(x)) - 3.3) / 1.28
+
+
 _Z = "((ln(value) - 3.3) / 1.28)"
 _RAW = f"CASE WHEN {_Z} < {PANIC} THEN 'panic' WHEN {_Z} < {FEAR} THEN 'fear' WHEN {_Z} < {OPTIMISM} THEN 'neutral' WHEN {_Z} < {EUPHORIA} THEN 'optimism' ELSE 'euphoria' END"
 _MOVED = " OR ".join(f"({_RAW} = '{to}' AND {f"regime = '{start}' AND " if start else ''}{_Z} {side} {bound})" for to, start, side, bound in MOVES)
@@ -82,7 +91,7 @@ _MOVED = " OR ".join(f"({_RAW} = '{to}' AND {f"regime = '{start}' AND " if start
 @query(f"WITH RECURSIVE {_ORDERED}, s AS (SELECT user_id, i, {_RAW} AS regime FROM e WHERE i = 1 UNION ALL SELECT user_id, e.i, CASE WHEN fresh OR {_MOVED} THEN {_RAW} ELSE regime END FROM s JOIN e USING (user_id) WHERE e.i = s.i + 1) SELECT event_id, regime FROM s JOIN e USING (user_id, i) WHERE {_DUE}")
 def st7_held_regimes(spark, d):
     """Regimes of users by the logarithm of their events' values, in order of time over two slices with late rows; two idle days start a user anew."""
-    change = lambda s: in_event_order(s.withColumn("z", (F.log("value") - 3.3) / 1.28), "user_id", "event_id", "z", regime_step, "regime string", "regime string", "2 days", 2 * 86400)
+    change = lambda s: in_event_order(s.withColumn("z", log_z("value")), "user_id", "event_id", "z", regime_step, "regime string", "regime string", "2 days", 2 * 86400)
     return with_rocks(spark, lambda: slices_to_table(_slices(spark, d, _CUTS[1:]), _folder(spark), change))
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pitloom.plans.streams import log_z
 from pitloom.sources.storage import new_folder
 from pitloom.streaming.ordered import MOVES, breach_step, in_event_order, regime_step, with_rocks
 from pitloom.streaming.rollups import in_slices, slices_to_table
@@ -132,3 +133,9 @@ def test_fall_that_equals_its_limit():
             state, out = step(state, np.arange(len(v[a : a + size])), v[a : a + size])
             got += out["alerts"].tolist()
         assert not any(got)
+
+
+def test_logarithm_of_zero(spark):
+    rows = spark.createDataFrame([(0.0,), (1.0,), (None,)], "value double").select(log_z("value").alias("z")).collect()
+    assert [r.z for r in rows] == [-np.inf, -3.3 / 1.28, None]
+    assert list(regime_step(None, np.arange(3), np.array([0.0, -np.inf, 1.0]))[1]["regime"]) == ["neutral", "panic", "panic"]
