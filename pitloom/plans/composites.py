@@ -11,6 +11,7 @@ from ..functions.matrices import decorrelated, first_component, moments, shrunk
 from ..functions.plugins import Factor, SeriesWindows, classified, drifting_beta, scored
 from ..functions.stats import average_rank, by, change, clip, correlation, forward_change, zscore
 from ..operators.joins import asof_join
+from ..sources.storage import stored
 from ..sources.tables import bars, table, week_ending_friday
 from .registry import BARS, RETURNS, day, query, rounded
 from .research import _SECTOR, sector
@@ -233,21 +234,28 @@ n AS (SELECT v.trade, v.week, e.buy AS cost, v.sell - e.buy AS gross, e.fee_in +
 s AS (SELECT *, (gross - fees) / abs(cost) AS ret FROM n), z AS (SELECT trade, coalesce(min(CASE WHEN ret < -0.3 THEN week END), max(week)) AS week FROM s GROUP BY 1)
 SELECT trade, week AS weeks, round(gross, 3) AS gross, round(fees, 3) AS fees, round(gross - fees, 3) AS net FROM s JOIN z USING (trade, week)""")
 def a54_leg_backtest(spark, d):
-    """Orders as trades, their lines as legs (every second one sold), weekly bars as the chain; a trade ends after eight weeks or in its first week below -30 %."""
+    """Orders as trades, their lines as legs (every second one sold), weekly bars as the chain; a trade ends after eight weeks or in its first week below -30 %.
+
+    A leg takes its eight weeks from one row of the stored chain and a trade's
+    weeks are columns of one aggregate, so no row is made for each leg and week.
+    """
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("trade"), "l_partkey", "l_quantity", F.when(F.col("l_linenumber") % 2 == 1, 1).otherwise(-1).alias("side"))
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("trade"), week_ending_friday(F.to_date("o_orderdate")).alias("entry"))
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"))
     legs = lines.join(parts, "l_partkey").join(orders, "trade").groupBy("trade", "entry", "ticker", "side").agg(F.sum("l_quantity").alias("q"))
-    weeks = legs.withColumn("week", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("date", F.expr("date_add(entry, week * 7)"))
-    x = weeks.join(bars(spark, d).select("date", "ticker", "close"), ["date", "ticker"])
-    buy, sell = F.col("close") * (1 + 0.005 * F.col("side")), F.col("close") * (1 - 0.005 * F.col("side"))
-    signed = F.col("side") * F.col("q")
-    v = x.groupBy("trade", "week").agg(F.sum(buy * signed).alias("buy"), F.sum(sell * signed).alias("sell"), (F.sum(buy * F.col("q")) * 0.001).alias("fee_in"), (F.sum(sell * F.col("q")) * 0.001).alias("fee_out"))
-    trade = Window.partitionBy("trade")
-    n = v.withColumns({"cost": F.max(F.when(F.col("week") == 0, F.col("buy"))).over(trade), "paid": F.max(F.when(F.col("week") == 0, F.col("fee_in"))).over(trade)}).where(F.abs("cost") > 1e-6)
-    s = n.select("trade", "week", "cost", (F.col("sell") - F.col("cost")).alias("gross"), (F.col("paid") + F.col("fee_out")).alias("fees"))
-    out, ret = F.struct("week", "gross", "fees"), (F.col("gross") - F.col("fees")) / F.abs("cost")
-    e = s.groupBy("trade").agg(F.coalesce(F.min_by(F.when(ret < -0.3, out), F.when(ret < -0.3, F.col("week"))), F.max_by(out, "week")).alias("e"))
+    weeks = range(8)
+    ahead = bars(spark, d).select("ticker", "date", "close", F.explode(F.array(*map(F.lit, weeks))).alias("week")).withColumn("entry", F.expr("date_sub(date, week * 7)"))
+    chain = stored(ahead.groupBy("ticker", "entry").agg(F.array(*(F.max(F.when(F.col("week") == k, F.struct("close"))) for k in weeks)).alias("chain")))
+    x = legs.join(chain, ["ticker", "entry"]).select("trade", "side", "q", *(F.get("chain", F.lit(k)).alias(f"bar{k}") for k in weeks))
+    side, q = F.col("side"), F.col("q")
+    buy, sell = (lambda k: F.col(f"bar{k}.close") * (1 + 0.005 * side)), (lambda k: F.col(f"bar{k}.close") * (1 - 0.005 * side))
+    v = x.groupBy("trade").agg(
+        F.sum(buy(0) * side * q).alias("cost"), (F.sum(buy(0) * q) * 0.001).alias("paid"),
+        *(c for k in weeks for c in (F.max(F.col(f"bar{k}").isNotNull()).alias(f"any{k}"), F.sum(sell(k) * side * q).alias(f"sell{k}"), (F.sum(sell(k) * q) * 0.001).alias(f"fee{k}"))))
+    each = F.array(*(F.when(F.col(f"any{k}"), F.struct(F.lit(k).alias("week"), (F.col(f"sell{k}") - F.col("cost")).alias("gross"), (F.col("paid") + F.col(f"fee{k}")).alias("fees"))) for k in weeks))
+    s = v.where(F.abs("cost") > 1e-6).select("trade", "cost", F.filter(each, lambda w: w.isNotNull()).alias("each"))
+    lost = F.filter("each", lambda w: (w["gross"] - w["fees"]) / F.abs("cost") < -0.3)
+    e = s.select("trade", F.coalesce(F.get(lost, F.lit(0)), F.element_at("each", -1)).alias("e"))
     return e.select("trade", F.col("e.week").cast("long").alias("weeks"), rounded("e.gross", 3).alias("gross"), rounded("e.fees", 3).alias("fees"), rounded(F.col("e.gross") - F.col("e.fees"), 3).alias("net"))
 
 
