@@ -25,11 +25,11 @@ from pyspark.sql import types as T
 from . import words
 
 #: Words whose ids a Python worker remembers, at most, at some 40 bytes each.
-MEMORY_WORDS = 1_500_000
+MEMORY_WORDS = 400_000
 #: So many words are given to the tokenizer at a time.
-ENCODE_WORDS = 16_384
+ENCODE_WORDS = 4_096
 #: Texts are tokenized together up to this many bytes.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
